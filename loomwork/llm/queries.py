@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwork.llm import rebuild, runs, subsequences
+from loomwork.llm import credentials, rebuild, runs, spans, subsequences
 from loomwork.llm.toolnames import catalog
 from loomwork.sources import table
 
@@ -23,6 +23,14 @@ def p1_runs(spark: SparkSession, sf: str) -> DataFrame:
     return runs.tool_runs(table(spark, sf, "subagent"), _tools(spark, sf))
 
 
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return credentials.credentials(table(spark, sf, "subagent")).select("row_id", "block_no", "secret").distinct()
+
+
+def p4_masked(spark: SparkSession, sf: str) -> DataFrame:
+    return credentials.masked_texts(table(spark, sf, "subagent"))
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return p5_patterns(spark, sf).select("origin", "pattern")
 
@@ -32,6 +40,14 @@ def p5_patterns(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("origin", "pattern", "support", "sequences")
 
 
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return spans.shared_pairs(table(spark, sf, "subagent"))
+
+
+def p6_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return spans.shared_share(table(spark, sf, "subagent"))
+
+
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return rebuild.dropped(table(spark, sf, "subagent")).select("session", "side")
 
@@ -41,7 +57,7 @@ def p7_conversations(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_runs, p5_found, p5_patterns, p7_found, p7_conversations)
+    f.__name__: f for f in (p1_found, p1_runs, p4_found, p4_masked, p5_found, p5_patterns, p6_found, p6_shares, p7_found, p7_conversations)
 }
 
 SQL: dict[str, str] = {}
