@@ -6,6 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from loomwork.operators import nested
+from loomwork.sources import table
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return nested.blocks(table(spark, sf, "raw_lines")).select("raw_id", "path", "kind", "ref_id").distinct()
+
+
+def p3_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    return nested.blocks(table(spark, sf, "raw_lines"))
+
+
+def p3_records(spark: SparkSession, sf: str) -> DataFrame:
+    return nested.records(table(spark, sf, "raw_lines"))
+
+
+def p3_objects(spark: SparkSession, sf: str) -> DataFrame:
+    return nested.objects(nested.bridges(table(spark, sf, "raw_lines")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p3_blocks, p3_records, p3_objects)}
 
 SQL: dict[str, str] = {}
