@@ -47,7 +47,6 @@ def rows(subagent: DataFrame) -> DataFrame:
     return found.filter(F.col("role").isin("user", "assistant") & F.col("session").isNotNull())
 
 
-def once(entries: Column) -> Column:
-    """Sorted entries with ``row_id`` as their second field: the first of each row."""
-    ordered = F.array_sort(F.array_distinct(entries))
-    return F.filter(ordered, lambda e, i: (i == 0) | ~e["row_id"].eqNullSafe(F.get(ordered, i - 1)["row_id"]))
+def gathered(row: Column) -> Column:
+    """Aggregate: the different rows of a group, sorted by their first fields; equal deliveries are one."""
+    return F.sort_array(F.collect_set(row))

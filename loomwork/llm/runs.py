@@ -30,8 +30,8 @@ def calls(subagent: DataFrame) -> DataFrame:
     """One row per stretch: ``session, side, stretch`` and the arrays ``ids, names, uss`` (microseconds) of its calls in order."""
     uses = F.filter("content", lambda b: C.block_type(b) == "tool_use")
     named = C.rows(subagent).select("session", "side", "stretch", F.struct("line_no", "row_id", "logged_at", F.transform(uses, lambda b: F.struct(b["id"].alias("id"), b["name"].alias("name"))).alias("uses")).alias("row"))
-    grouped = named.filter(F.size("row.uses") > 0).groupBy("session", "side", "stretch").agg(F.collect_list("row").alias("rows"))
-    flat = F.flatten(F.transform(C.once(F.col("rows")), lambda r: F.transform(r["uses"], lambda u: F.struct(u["id"].alias("id"), u["name"].alias("name"), F.unix_micros(C.moment(r["logged_at"])).alias("us")))))
+    grouped = named.filter(F.size("row.uses") > 0).groupBy("session", "side", "stretch").agg(C.gathered(F.col("row")).alias("rows"))
+    flat = F.flatten(F.transform("rows", lambda r: F.transform(r["uses"], lambda u: F.struct(u["id"].alias("id"), u["name"].alias("name"), F.unix_micros(C.moment(r["logged_at"])).alias("us")))))
     found = grouped.select("session", "side", "stretch", flat.alias("calls"))
     return found.select("session", "side", "stretch", *(F.col(f"calls.{c}").alias(f"{c}s") for c in ("id", "name", "us")))
 
