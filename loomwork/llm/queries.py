@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwork.llm import credentials, rebuild, runs, spans, subsequences
+from loomwork.llm import credentials, mojibake, rebuild, runs, spans, splits, subsequences
 from loomwork.llm.toolnames import catalog
 from loomwork.sources import table
 
@@ -23,6 +23,14 @@ def p1_runs(spark: SparkSession, sf: str) -> DataFrame:
     return runs.tool_runs(table(spark, sf, "subagent"), _tools(spark, sf))
 
 
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return splits.linked_sessions(table(spark, sf, "label_rows"))
+
+
+def p2_splits(spark: SparkSession, sf: str) -> DataFrame:
+    return splits.split_shares(table(spark, sf, "label_rows"), table(spark, sf, "split_targets"))
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return credentials.credentials(table(spark, sf, "subagent")).select("row_id", "block_no", "secret").distinct()
 
@@ -56,8 +64,19 @@ def p7_conversations(spark: SparkSession, sf: str) -> DataFrame:
     return rebuild.conversations(table(spark, sf, "subagent"))
 
 
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return mojibake.restored(table(spark, sf, "documents")).select("doc_id")
+
+
+def p10_restored(spark: SparkSession, sf: str) -> DataFrame:
+    return mojibake.restored(table(spark, sf, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_runs, p4_found, p4_masked, p5_found, p5_patterns, p6_found, p6_shares, p7_found, p7_conversations)
+    f.__name__: f
+    for f in (
+        p1_found, p1_runs, p2_found, p2_splits, p4_found, p4_masked, p5_found, p5_patterns, p6_found, p6_shares, p7_found, p7_conversations, p10_found, p10_restored,
+    )
 }
 
 SQL: dict[str, str] = {}

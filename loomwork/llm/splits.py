@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwork.functions.prefix import running_total
@@ -161,6 +161,6 @@ def split_shares(label_rows: DataFrame, split_targets: DataFrame, seed: int = 0)
     """Per split: ``split_name, target_share, n_rows, n_groups, share``."""
     rows = split_rows(label_rows, split_targets, seed)
     counts = rows.groupBy("split_name").agg(F.count("*").alias("n_rows"), F.count_distinct("group").alias("n_groups"))
-    whole = rows.agg(F.count("*").alias("total"))
-    joined = split_targets.select("split_name", "target_share").dropDuplicates(["split_name"]).join(counts, "split_name", "left").fillna(0, ["n_rows", "n_groups"]).crossJoin(whole)  # one row
+    joined = split_targets.select("split_name", "target_share").dropDuplicates(["split_name"]).join(counts, "split_name", "left").fillna(0, ["n_rows", "n_groups"])
+    joined = joined.withColumn("total", F.sum("n_rows").over(Window.partitionBy()))  # a row per split
     return joined.select("split_name", "target_share", "n_rows", "n_groups", F.when(F.col("total") > 0, F.col("n_rows") / F.col("total")).alias("share"))
