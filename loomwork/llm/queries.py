@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwork.llm import credentials, mojibake, rebuild, runs, spans, splits, subsequences
+from loomwork.llm import credentials, mixing, mojibake, packing, rebuild, runs, spans, splits, subsequences
 from loomwork.llm.toolnames import catalog
 from loomwork.sources import table
 
@@ -64,6 +64,22 @@ def p7_conversations(spark: SparkSession, sf: str) -> DataFrame:
     return rebuild.conversations(table(spark, sf, "subagent"))
 
 
+def p8_containers(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack(table(spark, sf, "documents"), table(spark, sf, "pack_specs"))
+
+
+def p8_fill(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.fill(p8_containers(spark, sf), table(spark, sf, "pack_specs"))
+
+
+def p9_mix(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mix(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.reached(p9_mix(spark, sf), table(spark, sf, "mix_targets"))
+
+
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return mojibake.restored(table(spark, sf, "documents")).select("doc_id")
 
@@ -75,7 +91,7 @@ def p10_restored(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        p1_found, p1_runs, p2_found, p2_splits, p4_found, p4_masked, p5_found, p5_patterns, p6_found, p6_shares, p7_found, p7_conversations, p10_found, p10_restored,
+        p1_found, p1_runs, p2_found, p2_splits, p4_found, p4_masked, p5_found, p5_patterns, p6_found, p6_shares, p7_found, p7_conversations, p8_containers, p8_fill, p9_mix, p9_shares, p10_found, p10_restored,
     )
 }
 
