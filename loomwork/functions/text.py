@@ -81,10 +81,14 @@ def words(text: Column, pattern: str = "[a-z0-9_./-]+") -> Column:
 
 def shingles(text: Column, n: int = 8, most: int | None = None) -> Column:
     """Runs of ``n`` words; with ``most``, every so many of them that no more than that remain."""
-    w = words(text)
-    total = F.size(w) - n + 1
-    stride = F.greatest(F.lit(1), F.ceil(total / F.lit(most))).cast("int") if most else F.lit(1)
-    return F.when(total < 1, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(total, F.lit(1)), stride), lambda i: F.array_join(F.slice(w, i, n), " ")))
+    def of(w: Column) -> Column:
+        total = F.size(w) - n + 1
+        stride = F.greatest(F.lit(1), F.ceil(total / F.lit(most))).cast("int") if most else F.lit(1)
+        found = F.transform(F.sequence(F.lit(1), F.greatest(total, F.lit(1)), stride), lambda i: F.array_join(F.slice(w, i, n), " "))
+        return F.when(total < 1, F.array().cast("array<string>")).otherwise(found)
+
+    # bound as a variable, so that the words are found once and not for every shingle
+    return F.transform(F.array(words(text)), of)[0]
 
 
 def sentences(text: Column) -> Column:

@@ -81,16 +81,26 @@ def messages_of_rows(subagent: DataFrame) -> DataFrame:
     return _assemble(once.select("session", F.struct("line_no", "row_id").alias("at"), role.alias("role"), "issidechain", blocks.alias("blocks")))
 
 
-def foreign_calls(raw: DataFrame) -> DataFrame:
-    """Calls of the foreign dialect: ``session, line_no, call_id, tool, input_json, output, exit_code``; calls without output are left out."""
+def _foreign_items(raw: DataFrame) -> DataFrame:
     record = "struct<type:string,payload:struct<type:string,name:string,call_id:string,arguments:string,input:string,output:string>>"
-    items = raw.filter(F.col("line").contains("response_item")).select("session", "line_no", F.from_json("line", record).alias("r")).filter(F.col("r.type") == "response_item").select("session", "line_no", "r.payload.*")
-    names = F.create_map(*[F.lit(x) for kv in FOREIGN_TOOLS.items() for x in kv])
-    used = items.filter(F.col("type").isin("function_call", "custom_tool_call")).select("session", "line_no", "call_id", F.coalesce(names[F.col("name")], F.col("name")).alias("tool"), F.coalesce("arguments", "input").alias("input_json"))
+    return raw.filter(F.col("line").contains("response_item")).select("session", "line_no", F.from_json("line", record).alias("r")).filter(F.col("r.type") == "response_item").select("session", "line_no", "r.payload.*")
+
+
+def foreign_outputs(raw: DataFrame) -> DataFrame:
+    """Outputs of the foreign dialect, the last of each call: ``session, call_id, output, exit_code``; they are JSON within JSON."""
+    given = _foreign_items(raw).filter(F.col("type").isin("function_call_output", "custom_tool_call_output"))
     inner = F.from_json("output", "struct<output:string,metadata:struct<exit_code:int>>")
-    given = items.filter(F.col("type").isin("function_call_output", "custom_tool_call_output")).select("session", "call_id", F.coalesce(inner["output"], content_text(F.col("output"))).alias("output"), inner["metadata"]["exit_code"].alias("exit_code"), F.col("line_no").alias("given_at"))
-    last = given.groupBy("session", "call_id").agg(F.max_by(F.struct("output", "exit_code"), "given_at").alias("g"))
-    return used.join(last, ["session", "call_id"]).select("session", "line_no", "call_id", "tool", "input_json", F.coalesce("g.output", F.lit("")).alias("output"), "g.exit_code")
+    each = given.select("session", "call_id", F.coalesce(inner["output"], content_text(F.col("output")), F.lit("")).alias("output"), inner["metadata"]["exit_code"].alias("exit_code"), "line_no")
+    last = each.groupBy("session", "call_id").agg(F.max_by(F.struct("output", "exit_code"), F.struct("line_no", "output")).alias("g"))
+    return last.select("session", "call_id", "g.output", "g.exit_code")
+
+
+def foreign_calls(raw: DataFrame) -> DataFrame:
+    """Calls of the foreign dialect under their names here: ``session, line_no, call_id, tool, input_json, output, exit_code``; calls without output are left out."""
+    names = F.create_map(*[F.lit(x) for kv in FOREIGN_TOOLS.items() for x in kv])
+    items = _foreign_items(raw).filter(F.col("type").isin("function_call", "custom_tool_call"))
+    used = items.select("session", "line_no", "call_id", F.coalesce(F.try_element_at(names, F.col("name")), F.col("name")).alias("tool"), F.coalesce("arguments", "input").alias("input_json"))
+    return used.join(foreign_outputs(raw), ["session", "call_id"]).select("session", "line_no", "call_id", "tool", "input_json", "output", "exit_code")
 
 
 def scores_long(cache: DataFrame) -> DataFrame:
