@@ -160,15 +160,14 @@ def _counter(sent: Broadcast):
 def frequent(sequences: DataFrame, share: float, least: int, shortest: int, longest: int, partitions: int | None = None) -> DataFrame:
     """Patterns of ``sequences (origin, steps)`` that reach both limits: ``origin, pattern, steps, support, sequences``."""
     spark = sequences.sparkSession
-    full = sequences.filter(F.size("steps") > 0)
+    full = written(sequences.filter(F.size("steps") > 0).withColumn("deal", F.xxhash64(F.monotonically_increasing_id())), "sequences")
     totals = {r.origin: r.n for r in full.groupBy("origin").agg(F.count("*").alias("n")).collect()}  # one row per origin, a handful
     limits = {o: max(least, math.ceil(share * n - 1e-9)) for o, n in totals.items()}
     shares = {o: limits[o] / n for o, n in totals.items()}
     parts = {o: partitions or max(1, round(n / PER_PARTITION)) for o, n in totals.items()}
     sizes = spark.createDataFrame([(o, p) for o, p in parts.items()], "origin string, parts int")
     # dealt in even shares: one group per origin and number
-    dealt = full.join(F.broadcast(sizes), "origin").withColumn("part", F.pmod(F.xxhash64(F.monotonically_increasing_id()), "parts").cast("int")).select("origin", "part", "steps")
-    dealt = written(dealt, "sequences")
+    dealt = full.join(F.broadcast(sizes), "origin").select("origin", F.pmod("deal", "parts").cast("int").alias("part"), "steps")
 
     def mine(group: pd.DataFrame) -> pd.DataFrame:
         origin = group["origin"].iloc[0]
