@@ -11,6 +11,7 @@ reading winning; a private key without its END line is no block; a row delivered
 
 from __future__ import annotations
 
+import base64
 import re
 from collections.abc import Iterator
 
@@ -92,6 +93,14 @@ def is_value(text: str, quoted: bool) -> bool:
     return odd and letters and (mixed and len(text) >= 10 or quoted and len(text) >= 8)
 
 
+def _user_and_password(value: str) -> bool:
+    """Whether a value is an encoded user and password."""
+    try:
+        return b":" in base64.b64decode(value, validate=True)[1:]
+    except ValueError:
+        return False
+
+
 def find(text: str) -> list[tuple[int, int]]:
     """Spans of all credentials in ``text``, in order and apart from each other."""
     spans: list[tuple[int, int]] = [m.span() for m in _BLOCK.finditer(text)]
@@ -133,12 +142,12 @@ def find(text: str) -> list[tuple[int, int]]:
             add(m, "inner", "bare")
     for m in _SPOKEN.finditer(text):
         value = m.group("bare").rstrip(".,;:!?'\"*`")
-        if any(c.isdigit() for c in value) and "=" not in value[:-2] and "://" not in value and not _PLACE.match(value) and not _WORDLIKE.match(value):
+        if any(c.isdigit() for c in value) and "=" not in value[:-2] and "://" not in value and not _PLACE.match(value) and not _WORDLIKE.match(value) and not _REFERENCE.match(value):
             add(m, "bare", trim=True)
     for m in _SCHEME.finditer(text):
         value = m.group("bare").rstrip(".:")
         if m.group("head") or m.group("scheme").lower() in ("bearer", "basic"):
-            if any(c.isdigit() for c in value) or value.endswith("=") or len(value) >= 20 and any(c.isupper() for c in value):
+            if any(c.isdigit() for c in value) or value.endswith("=") or _user_and_password(value) or len(value) >= 20 and any(c.isupper() for c in value):
                 a = m.start("bare")
                 if m.group("head") or len(value) >= 16:
                     spans.append((a, a + len(value)))

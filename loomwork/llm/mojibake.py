@@ -8,7 +8,8 @@ learned table is applied like ``translate()``; an exact check follows: a run mus
 throughout, its bytes must agree, and it must not merely stand in quotes. Replacement characters mark what is lost.
 
 Results for odd input: null and empty texts are sound; text garbled twice or three times is restored by so many steps;
-half-escaped units (``&Atilde;©``) count as their characters; sources that are null form a source of their own.
+half-escaped units (``&Atilde;©``) count as their characters; sources that are null form a source of their own; documents without
+id are skipped.
 """
 
 from __future__ import annotations
@@ -445,5 +446,5 @@ def restored(documents: DataFrame) -> DataFrame:
                     out.append((doc, n, lost, whole))
             yield pd.DataFrame(out, columns=["doc_id", "garbled_runs", "lost_runs", "text"])
 
-    texts = _source_key(documents).select("doc_id", "__source", "text").filter(F.length("text") > 0)
+    texts = _source_key(documents).select("doc_id", "__source", "text").filter((F.length("text") > 0) & F.col("doc_id").isNotNull())
     return texts.mapInPandas(apply, "doc_id long, garbled_runs int, lost_runs int, text string")

@@ -1,12 +1,12 @@
 """Texts packed into containers of fixed capacity with little unused space.
 
 The cost of a text is linear plus quadratic in its tokens, as attention has it. Texts go in descending order to the
-container of least cost that still has room; a new one is opened only where none has. A text larger than a container is
+container of least cost that still has room, unless it nearly fills another; a new one is opened only where none has. A text larger than a container is
 cut into full containers and a rest, nothing else is cut. Texts are dealt by hash into parts of about ``PART`` and each
 part is packed by itself, at most one container per part being less than well filled.
 
 Results for odd input: null and empty texts have no tokens and take room in no container, but get one; equal texts are
-packed each; specifications without a positive capacity are skipped; no texts, no rows.
+packed each; texts without id are skipped; specifications without a positive capacity are skipped; no texts, no rows.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from loomwork.functions.shared import written
 from loomwork.llm.tokens import TOKENIZER, with_tokens
 
 PART = 4096
+NEARLY_FULL = 8  # a text that leaves less than this part of a container free closes it
 _TYPE = "spec_id int, container_id string, doc_id long, piece_no int, start_token long, n_tokens long"
 
 
@@ -37,7 +38,8 @@ def assign(sizes: np.ndarray, capacity: int) -> np.ndarray:
         if not len(fit):
             room, cost = np.append(room, capacity), np.append(cost, 0.0)
             fit = np.array([len(room) - 1])
-        to = fit[np.argmin(cost[fit])]
+        left = room[fit] - size
+        to = fit[np.argmin(left)] if left.min() <= capacity // NEARLY_FULL else fit[np.argmin(cost[fit])]
         room[to] -= size
         cost[to] += size + size * size / capacity
         out[i] = to
@@ -53,7 +55,7 @@ def _pack(group: pd.DataFrame) -> pd.DataFrame:
 
 def pack(documents: DataFrame, specs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """Where each text goes, for each specification: ``spec_id, container_id, doc_id, piece_no, start_token, n_tokens``."""
-    sized = written(with_tokens(documents.select("doc_id", "text"), "text", tokenizer=tokenizer).select("doc_id", "n_tokens"), "sizes")
+    sized = written(with_tokens(documents.select("doc_id", "text").filter(F.col("doc_id").isNotNull()), "text", tokenizer=tokenizer).select("doc_id", "n_tokens"), "sizes")
     wanted = [(r.spec_id, int(r.capacity_tokens)) for r in specs.select("spec_id", "capacity_tokens").dropna().distinct().limit(1000).collect() if r.capacity_tokens > 0]
     if not wanted:
         return documents.sparkSession.createDataFrame([], _TYPE)

@@ -97,7 +97,8 @@ def linked_sessions(label_rows: DataFrame) -> DataFrame:
 
 
 def _groups(label_rows: DataFrame) -> DataFrame:
-    """``label_rows`` with ``group``: what must stay together."""
+    """``label_rows`` with ``group``: what must stay together. Columns of the names added here are replaced."""
+    label_rows = label_rows.drop("group", "split_name")
     _, named = forest(written(links(label_rows), "links"))
     rows = label_rows.withColumn("__s", session_of(F.col("session"))).withColumn("__i", tool_use_of(F.col("tool_use_id")))
     by_id = rows.filter(F.col("__s").isNotNull() & F.col("__i").isNotNull()).groupBy(F.col("__i").alias("__id")).agg(F.min("__s").alias("__of_id"))
