@@ -25,6 +25,7 @@ from loomwork.llm.credentials import texts
 
 SPAN = 200
 UNIT = 96
+CROWD = 64  # classes of one unit that are compared by pairs; more are compared by the hashes of their spans
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _STEP = 0xD6E8FEB86659FD93  # odd, so that it can be undone
 
@@ -82,14 +83,13 @@ def _spread(low: np.ndarray, window: int, n: int) -> np.ndarray:
     return top[:n]
 
 
-def _unit_rows(span: int, unit: int, around: bool):
+def _unit_rows(span: int, unit: int):
     window = span - unit + 1
-    reach = span - unit
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         powers = _powers(1 << 16)
         for batch in batches:
-            digests, owners, places, lefts, contexts = [], [], [], [], []
+            digests, owners, places = [], [], []
             for i, value in enumerate(batch["value"]):
                 if len(value) > len(powers[0]):
                     powers = _powers(2 * len(value))
@@ -98,18 +98,9 @@ def _unit_rows(span: int, unit: int, around: bool):
                 digests.append(hashes[at].view(np.int64))
                 owners.append(np.full(len(at), i))
                 places.append(at)
-                if around:
-                    lefts += [min(int(a), reach) for a in at]
-                    contexts += [value[max(0, a - reach) : a + span] for a in at]
-            if not owners:
-                continue
-            own = np.concatenate(owners)
-            out = batch.drop(columns="value").iloc[own].reset_index(drop=True)
-            out["digest"] = np.concatenate(digests)
-            out["place"] = np.concatenate(places).astype(np.int32)
-            if around:
-                out["before"], out["around"] = lefts, contexts
-            yield out
+            if owners:
+                out = batch.drop(columns="value").iloc[np.concatenate(owners)].reset_index(drop=True)
+                yield out.assign(digest=np.concatenate(digests), place=np.concatenate(places).astype(np.int32))
 
     return rows
 
@@ -123,14 +114,18 @@ def _long_texts(subagent: DataFrame, span: int) -> DataFrame:
 
 def shared_units(subagent: DataFrame, span: int = SPAN, unit: int = UNIT) -> DataFrame:
     """Units that several records hold, with their surroundings: ``row_id, block_no, part, digest, place, before, around``."""
+    key = ["row_id", "block_no", "part"]
+    reach = span - unit
     long_texts = _long_texts(subagent, span)
-    units = long_texts.mapInPandas(_unit_rows(span, unit, False), _KEY + ", digest long, place int").select("row_id", "block_no", "part", "digest")
+    units = written(long_texts.mapInPandas(_unit_rows(span, unit), _KEY + ", digest long, place int"), "units")
     held = units.groupBy("digest").agg(F.min("row_id").alias("first"), F.max("row_id").alias("last"))
     several = held.filter(F.col("first") != F.col("last")).select("digest")
-    places = units.join(several, "digest", "left_semi").select("row_id", "block_no", "part").distinct()
-    again = long_texts.join(places, ["row_id", "block_no", "part"], "left_semi").dropDuplicates(["row_id", "block_no", "part"])
-    full = again.mapInPandas(_unit_rows(span, unit, True), _KEY + ", digest long, place int, before int, around string")
-    return written(full, "units")
+    places = units.join(several, "digest", "left_semi").groupBy(*key).agg(F.collect_set(F.struct("digest", "place")).alias("units"))
+    again = long_texts.join(places, key).dropDuplicates(key)
+    each = again.select(*key, "value", F.inline("units"))
+    start = F.greatest(F.lit(0), F.col("place") - reach)
+    full = each.select(*key, "digest", "place", (F.col("place") - start).alias("before"), F.substring("value", start + 1, F.col("place") - start + span).alias("around"))
+    return written(full, "surroundings")
 
 
 def _extent(span: int, unit: int):
@@ -153,24 +148,30 @@ def _extent(span: int, unit: int):
     return rows
 
 
-def shared_spans(subagent: DataFrame, span: int = SPAN, unit: int = UNIT) -> tuple[DataFrame, DataFrame]:
-    """Classes of equal surroundings that share a span, and the places of each class.
-
-    Links: ``a, b, left, right`` between classes (a class with itself where it has several records); members:
-    ``class, row_id, block_no, part, place``. Copies stay members of one class and are never paired here.
-    """
+def _classes(subagent: DataFrame, span: int, unit: int) -> tuple[DataFrame, DataFrame]:
+    """Equal surroundings as one class, ``class, digest, before, around, first, last``, and its places, ``class, row_id, block_no, part, place``."""
     units = shared_units(subagent, span, unit)
-    key = F.struct("digest", "before", F.xxhash64("around").alias("x"), F.length("around").alias("n"), F.md5("around").alias("m"))
+    key = F.struct("digest", "before", F.length("around").alias("n"), F.sha2("around", 256).alias("h"))
     named = units.withColumn("class", F.sha1(F.to_json(key)))
     members = named.select("class", "row_id", "block_no", "part", "place").distinct()
     classes = named.groupBy("class").agg(F.first("digest").alias("digest"), F.first("before").alias("before"), F.first("around").alias("around"), F.min("row_id").alias("first"), F.max("row_id").alias("last"))
-    classes = written(classes, "classes")
+    return written(classes, "classes"), members
+
+
+def _met(classes: DataFrame, span: int, unit: int) -> DataFrame:
+    """Links between the classes of a unit that share a span, ``a, b, left, right``; a class with itself where it has several records."""
     own = classes.filter((F.col("first") != F.col("last")) & (F.length("around") >= span)).select(F.col("class").alias("a"), F.col("class").alias("b"), F.col("before").alias("left"), (F.length("around") - F.col("before")).alias("right"))
     left = classes.select("digest", F.col("class").alias("a"), F.col("before").alias("at_a"), F.col("around").alias("text_a"))
     right = classes.select("digest", F.col("class").alias("b"), F.col("before").alias("at_b"), F.col("around").alias("text_b"))
     met = left.join(right, (left.digest == right.digest) & (F.col("a") < F.col("b"))).select("a", "b", "at_a", "at_b", "text_a", "text_b")
-    links = met.mapInPandas(_extent(span, unit), "a string, b string, left int, right int")
-    return own.unionByName(links), members
+    return own.unionByName(met.mapInPandas(_extent(span, unit), "a string, b string, left int, right int"))
+
+
+def shared_spans(subagent: DataFrame, span: int = SPAN, unit: int = UNIT) -> tuple[DataFrame, DataFrame]:
+    """Links between classes of equal surroundings that share a span, and the places of each class. Copies stay members of one
+    class and are never paired here."""
+    classes, members = _classes(subagent, span, unit)
+    return _met(classes, span, unit), members
 
 
 def shared_pairs(subagent: DataFrame, span: int = SPAN, unit: int = UNIT) -> DataFrame:
@@ -196,12 +197,21 @@ def shared_parts(subagent: DataFrame, span: int = SPAN, unit: int = UNIT) -> Dat
 
     A keeper is the earliest record that holds the span of that unit; where it is the row itself, the span is kept there.
     """
-    links, members = shared_spans(subagent, span, unit)
-    firsts = members.groupBy("class").agg(F.min("row_id").alias("first"), F.max("row_id").alias("last"))
+    classes, members = _classes(subagent, span, unit)
+    sizes = classes.groupBy("digest").agg(F.count("*").alias("k"))
+    crowded = classes.join(sizes.filter(F.col("k") > CROWD), "digest", "left_semi")
+    few = classes.join(sizes.filter(F.col("k") <= CROWD), "digest", "left_semi")
+    links = _met(few, span, unit)
     sides = links.select(F.col("a").alias("class"), F.col("b").alias("other"), "left", "right").unionByName(links.filter(F.col("a") != F.col("b")).select(F.col("b").alias("class"), F.col("a").alias("other"), "left", "right"))
-    ranked = sides.join(firsts.select(F.col("class").alias("other"), F.col("first").alias("other_first"), F.col("last").alias("other_last")), "other")
+    ranked = sides.join(classes.select(F.col("class").alias("other"), "first", "last"), "other")
     # one row per class and extent: its earliest holder, and what shows that another record holds it too
-    reach = ranked.groupBy("class", "left", "right").agg(F.min("other_first").alias("least"), F.max("other_last").alias("most"))
+    met = ranked.groupBy("class", "left", "right").agg(F.min("first").alias("least"), F.max("last").alias("most"))
+    # a unit of many classes: each span around it is hashed, so that the work grows with the classes and not with their pairs
+    starts = F.transform(F.sequence(F.lit(0), F.length("around") - span), lambda o: F.struct((F.col("before") - o).alias("left"), F.sha1(F.substring("around", o + 1, F.lit(span))).alias("h")))
+    windows = crowded.filter(F.length("around") >= span).select("class", "digest", "first", "last", F.inline(starts))
+    shared = windows.groupBy("digest", "left", "h").agg(F.min("first").alias("least"), F.max("last").alias("most")).filter(F.col("least") != F.col("most"))
+    hashed = windows.select("class", "digest", "left", "h").join(shared, ["digest", "left", "h"]).select("class", "left", (F.lit(span) - F.col("left")).alias("right"), "least", "most")
+    reach = met.unionByName(hashed)
     at = members.join(reach, "class").filter((F.col("least") != F.col("row_id")) | (F.col("most") != F.col("row_id")))
     found = at.select("row_id", "block_no", "part", F.struct((F.col("place") - F.col("left")).alias("start"), (F.col("place") + F.col("right")).alias("end"), F.least("least", "row_id").alias("keeper")).alias("span")).distinct()
     return found.groupBy("row_id", "block_no", "part").agg(F.array_sort(F.collect_list("span")).alias("spans"))

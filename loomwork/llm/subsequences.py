@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +33,7 @@ LONG = 512  # steps beyond which a sequence is cut to an equivalent one
 JOINED = 64  # neighbouring stretches joined at once
 STRETCH = 512  # flows of one session that are read together
 PER_PARTITION = 12_000  # sequences mined together
+STEPS = 400_000  # steps mined together, where sequences are long
 CANDIDATES = 400_000  # patterns counted in one pass; more are counted in several
 
 _SEPARATOR = re.compile(r"\s*(?:->|=>|→|⇒|➔|➜|»|\||;|,|>|\n)\s*")
@@ -97,7 +99,9 @@ def cut(steps: list, longest: int) -> list:
 class Sequences:
     """A partition's sequences as one table of next occurrences."""
 
-    def __init__(self, sequences: list[list[str]]):
+    def __init__(self, sequences: list[list[str]], wanted: set[str]):
+        """Steps that aren't wanted are left out; no pattern asked for has them."""
+        sequences = [[s for s in q if s in wanted] for q in sequences]
         self.n = len(sequences)
         flat = [s for q in sequences for s in q]
         codes, names = pd.factorize(np.asarray(flat, dtype=object)) if flat else (np.zeros(0, int), [])
@@ -151,7 +155,7 @@ def _counter(sent: Broadcast):
     def count(group: pd.DataFrame) -> pd.DataFrame:
         origin = group["origin"].iloc[0]
         patterns = sent.value[origin]
-        found = list(Sequences(list(group["steps"])).count(patterns))
+        found = list(Sequences(list(group["steps"]), {s for p in patterns for s in p}).count(patterns))
         return pd.DataFrame({"origin": [origin] * len(found), "steps": [list(patterns[i]) for i, _ in found], "support": [k for _, k in found]})
 
     return count
@@ -161,10 +165,11 @@ def frequent(sequences: DataFrame, share: float, least: int, shortest: int, long
     """Patterns of ``sequences (origin, steps)`` that reach both limits: ``origin, pattern, steps, support, sequences``."""
     spark = sequences.sparkSession
     full = written(sequences.filter(F.size("steps") > 0).withColumn("deal", F.xxhash64(F.monotonically_increasing_id())), "sequences")
-    totals = {r.origin: r.n for r in full.groupBy("origin").agg(F.count("*").alias("n")).collect()}  # one row per origin, a handful
+    found = full.groupBy("origin").agg(F.count("*").alias("n"), F.sum(F.size("steps")).alias("steps")).collect()  # one row per origin, a handful
+    totals = {r.origin: r.n for r in found}
     limits = {o: max(least, math.ceil(share * n - 1e-9)) for o, n in totals.items()}
     shares = {o: limits[o] / n for o, n in totals.items()}
-    parts = {o: partitions or max(1, round(n / PER_PARTITION)) for o, n in totals.items()}
+    parts = {r.origin: partitions or max(1, round(max(r.n / PER_PARTITION, r.steps / STEPS))) for r in found}
     sizes = spark.createDataFrame([(o, p) for o, p in parts.items()], "origin string, parts int")
     # dealt in even shares: one group per origin and number
     dealt = full.join(F.broadcast(sizes), "origin").select("origin", F.pmod("deal", "parts").cast("int").alias("part"), "steps")
@@ -172,7 +177,9 @@ def frequent(sequences: DataFrame, share: float, least: int, shortest: int, long
     def mine(group: pd.DataFrame) -> pd.DataFrame:
         origin = group["origin"].iloc[0]
         limit = max(1, math.ceil(shares[origin] * len(group) - 1e-9))
-        found = list(Sequences(list(group["steps"])).mine(limit, shortest, longest))
+        held = Counter(s for q in group["steps"] for s in set(q))
+        often = {s for s, n in held.items() if n >= limit}
+        found = list(Sequences(list(group["steps"]), often).mine(limit, shortest, longest))
         return pd.DataFrame({"origin": [origin] * len(found), "steps": [list(p) for p in found]})
 
     kind = "origin string, steps array<string>"

@@ -49,7 +49,7 @@ def longest_shared(a, b, least):
     return any(b[i : i + least] in seen for i in range(len(b) - least + 1))
 
 
-def test_shared_spans_match_brute_force(transcript):
+def test_shared_spans_match_brute_force(transcript, monkeypatch):
     rng = random.Random(3)
     passage, other = words(rng, 260), words(rng, 230)
     texts = {
@@ -64,6 +64,12 @@ def test_shared_spans_match_brute_force(transcript):
     table = transcript(rows + rows[:3])
     got = [(r.row_a, r.row_b) for r in spans.shared_pairs(table).collect()]
     assert set(got) == expected and len(got) == len(expected)
+    for crowd in (64, 1):
+        monkeypatch.setattr(spans, "CROWD", crowd)
+        check_shares(table)
+
+
+def check_shares(table):
     shares = {r.row_id: (r.n_chars, r.shared_chars, r.repeated_chars) for r in spans.shared_share(table).collect()}
     assert shares[7] == (230, 230, 230) and shares[6] == (230, 230, 0) and shares[5][1:] == (0, 0) and shares[9] == (0, 0, 0) and shares[13] == (0, 0, 0)
     assert shares[8][1] == 230 and shares[15][:2] == (460, 460) and shares[11][1] == 5000 and shares[12][1] == 400
