@@ -112,14 +112,12 @@ def scores_long(cache: DataFrame) -> DataFrame:
 
 def with_scores(labels: DataFrame, scores: DataFrame) -> DataFrame:
     """Labels with scores by composite key, else by bare id."""
-    full = scores.withColumn("k", F.col("key"))
-    a = full.select("config", "k", F.struct("result", "call").alias("by_row"))
-    b = full.select(F.col("config").alias("config2"), F.col("k").alias("k2"), F.struct("result", "call").alias("by_id"))
-    key = F.concat_ws("\x00", "session", "tool_use_id")
+    a = scores.select(F.col("config").alias("config_a"), F.col("key").alias("key_a"), F.struct("result", "call").alias("by_row"))
+    b = scores.select(F.col("config").alias("config_b"), F.col("key").alias("key_b"), F.struct("result", "call").alias("by_id"))
     configs = F.broadcast(scores.select("config").distinct().limit(1000))
-    each = labels.withColumn("__k", key).join(configs)
-    found = each.join(a, (F.col("__k") == F.col("k")) & (each.config == a.config), "left").drop(a.config).join(b, (F.col("tool_use_id") == F.col("k2")) & (each.config == F.col("config2")), "left")
-    return found.withColumn("s", F.coalesce("by_row", "by_id")).select(*labels.columns, each.config, F.col("s.result").alias("score_result"), F.col("s.call").alias("score_call"))
+    each = labels.withColumn("__k", F.concat_ws("\x00", "session", "tool_use_id")).join(configs)
+    found = each.join(a, (F.col("__k") == F.col("key_a")) & (F.col("config") == F.col("config_a")), "left").join(b, (F.col("tool_use_id") == F.col("key_b")) & (F.col("config") == F.col("config_b")), "left")
+    return found.withColumn("s", F.coalesce("by_row", "by_id")).select(*labels.columns, "config", F.col("s.result").alias("score_result"), F.col("s.call").alias("score_call"))
 
 
 def fully_scored(scores: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.functions import signatures as S
+from loomwork.functions.shared import written
 from loomwork.operators.recorder import MAX_SAMPLES, MAX_SESSIONS, fair_prune
 
 SIGNAL = "kind string, sig string, calls long, chars long, session string, sample string, at long"
@@ -103,7 +104,8 @@ def store_writer(path: str):
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        fresh = counted(batch).select("kind", "sig", "n", "calls", "chars", "last_seen", "sessions", "samples")
+        held = written(batch, "signals")  # read several times below, while a stateful batch may run only once
+        fresh = counted(held).select("kind", "sig", "n", "calls", "chars", "last_seen", "sessions", "samples")
         if batch_id > 0:
             fresh = merged(spark.read.parquet(f"{path}/v={batch_id - 1}"), fresh)
         fair_prune(fresh).write.mode("overwrite").parquet(f"{path}/v={batch_id}")
