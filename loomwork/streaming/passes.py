@@ -28,11 +28,12 @@ def step(state: tuple[int, int, int], turn: int, percent: float, freed_percent:
     return ((passes + 1, turn, turn), "taken") if good else ((0, turn, turn), "handed over")
 
 
-def pass_stream(turns: DataFrame, options: PassOptions = PassOptions(), idle: str = "1 day") -> DataFrame:
-    """Actions for turns ``session, agent, turn, percent, freed_percent, speculative``."""
+def pass_stream(turns: DataFrame, options: PassOptions = PassOptions(), idle: str | None = None) -> DataFrame:
+    """Actions for turns ``session, agent, turn, percent, freed_percent, speculative``; ``idle`` as for the recorder."""
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-    millis = int(pd.Timedelta(idle).total_seconds() * 1000)
+    millis = int(pd.Timedelta(idle).total_seconds() * 1000) if idle else 0
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -44,7 +45,8 @@ def pass_stream(turns: DataFrame, options: PassOptions = PassOptions(), idle: st
             now, action = step(now, int(e["turn"]), e["percent"], e["freed_percent"], bool(e["speculative"]), options)
             rows.append((*key, int(e["turn"]), action, now[0]))
         state.update(now)
-        state.setTimeoutDuration(millis)
+        if idle:
+            state.setTimeoutDuration(millis)
         yield pd.DataFrame(rows, columns=[c.split()[0] for c in OUT.split(", ")])
 
-    return turns.groupBy("session", "agent").applyInPandasWithState(update, OUT, "passes int, last_turn int, last_at int", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return turns.groupBy("session", "agent").applyInPandasWithState(update, OUT, "passes int, last_turn int, last_at int", "append", timeout)

@@ -67,11 +67,12 @@ def _intent(prompt: str) -> str:
     return " ".join(sorted(list(telling)[:4]))
 
 
-def signal_stream(events: DataFrame, idle: str = "1 day") -> DataFrame:
-    """Signals of a stream of events; a session's state is dropped after it was idle."""
+def signal_stream(events: DataFrame, idle: str | None = None) -> DataFrame:
+    """Signals of a stream of events; with ``idle``, for streams that never end, a session's state is dropped after that time."""
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-    millis = int(pd.Timedelta(idle).total_seconds() * 1000)
+    millis = int(pd.Timedelta(idle).total_seconds() * 1000) if idle else 0
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -84,10 +85,11 @@ def signal_stream(events: DataFrame, idle: str = "1 day") -> DataFrame:
             now, out = step(now, event)
             rows += out
         state.update((int(now[0]), now[1], list(now[2]), list(now[3])))
-        state.setTimeoutDuration(millis)
+        if idle:
+            state.setTimeoutDuration(millis)
         yield pd.DataFrame(rows, columns=[c.split()[0] for c in SIGNAL.split(", ")])
 
-    return events.groupBy("session").applyInPandasWithState(update, SIGNAL, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.groupBy("session").applyInPandasWithState(update, SIGNAL, STATE, "append", timeout)
 
 
 def merged(counters: DataFrame, fresh: DataFrame) -> DataFrame:
