@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SAMPLE = 50_000
@@ -70,22 +70,23 @@ def left_out_scores(df: DataFrame, features: str, label: str, keys: list[str], s
     return joined.withColumn("p", F.coalesce(1 / (1 + F.exp(-z)), F.lit(0.5))).drop("__fold", "fold", "w", "mu", "sd")
 
 
-def conformal_floors(scored: DataFrame, score: str, label: str, miss: float, session: str = "session", bins: int = 1000) -> DataFrame:
-    """Per session the floor that the share ``miss`` of the other sessions' needed scores lie below: ``session, floor``.
+def conformal_floors(scored: DataFrame, score: str, label: str, miss: float, session: str = "session", finite: bool = False) -> DataFrame:
+    """Per session the needed score that the share ``miss`` of the other sessions' needed scores lie below: ``session, floor``.
 
-    Scores are counted in ``bins`` equal bins, overall once and per session, so the work is bounded by sessions times bins.
+    With ``finite`` the rank is that of the finite-sample guarantee, ``floor(miss * (n + 1)) - 1`` from 0, else ``floor(miss * n)``.
+    Every session has a floor; it is 0 where no other has a needed score. Null scores have no rank. Windows see distinct scores and ranks only.
     """
-    at = F.least(F.lit(bins - 1), F.floor(F.col(score) * bins)).cast("int")
-    needed = scored.filter(F.col(label)).groupBy(session, at.alias("b")).agg(F.count("*").alias("k"))
-    everywhere = needed.groupBy("b").agg(F.sum("k").alias("k")).agg(F.map_from_entries(F.collect_list(F.struct("b", "k"))).alias("all"), F.sum("k").alias("n"))
-    own = needed.groupBy(session).agg(F.map_from_entries(F.collect_list(F.struct("b", "k"))).alias("own"), F.sum("k").alias("m"))
-    joined = own.join(F.broadcast(everywhere))
-    of = lambda m, b: F.coalesce(F.try_element_at(F.col(m), b), F.lit(0))
-    start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("int").alias("at"))
-    rank = F.floor((F.col("n") - F.col("m")) * miss)
-
-    def step(acc, b):
-        seen = acc["seen"] + of("all", b) - of("own", b)
-        return F.struct(seen.cast("long").alias("seen"), F.when(acc["at"].isNull() & (seen > rank), b).otherwise(acc["at"]).cast("int").alias("at"))
-
-    return joined.select(session, (F.aggregate(F.sequence(F.lit(0), F.lit(bins - 1)), start, step)["at"] / bins).alias("floor"))
+    held = scored.withColumn("s", F.when(F.col(label), F.col(score))).groupBy(session, "s").agg(F.count("s").alias("k"))
+    everywhere = held.filter(F.col("s").isNotNull()).groupBy("s").agg(F.sum("k").alias("k")).withColumn("upto", F.sum("k").over(Window.orderBy("s")))
+    whole = everywhere.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("n"))
+    own = held.withColumn("own", F.sum("k").over(Window.partitionBy(session).orderBy("s"))).withColumn("rest", -F.sum("k").over(Window.partitionBy(session)))
+    ranked = own.join(everywhere.select("s", "upto"), "s", "left").join(F.broadcast(whole)).withColumn("rest", F.col("rest") + F.col("n"))
+    # 1 - (1 - miss) is the share as the target 1 - miss gives it: 0.1 becomes 0.09999999999999998, and whole products one rank less
+    at = F.floor((F.col("rest") + 1) * (1 - (1 - miss))) - 1 if finite else F.floor(F.col("rest") * miss)
+    ranked = ranked.withColumn("rank", F.greatest(F.lit(0), F.least(F.col("rest") - 1, at)) + 1)
+    passed = F.max(F.when(F.col("upto") - F.col("own") < F.col("rank"), F.col("own")))  # own scores below the floor
+    wanted = ranked.groupBy(session).agg(F.max("rest").alias("rest"), (F.max("rank") + F.coalesce(passed, F.lit(0))).alias("upto"))
+    marks = everywhere.select("upto", "s").unionByName(wanted.select("upto").distinct().withColumn("s", F.lit(None).cast("double")))
+    least = F.last("s", ignorenulls=True).over(Window.orderBy(F.desc("upto"), F.col("s").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0))
+    floors = marks.withColumn("floor", least).filter(F.col("s").isNull()).select("upto", "floor")
+    return wanted.join(floors, "upto", "left").select(session, F.when(F.col("rest") > 0, F.col("floor")).otherwise(0.0).alias("floor"))

@@ -519,7 +519,7 @@ def left_out_scores(spark, sf):
 
 @query
 def conformal_floors(spark, sf):
-    return models.conformal_floors(_labels(spark, sf), "score", "result_needed", 0.1)
+    return models.conformal_floors(_labels(spark, sf), "score", "result_needed", 0.1, finite=True)
 
 
 @query

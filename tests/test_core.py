@@ -227,6 +227,26 @@ def test_metrics_match_brute_force(spark, seed):
     assert len(ratios) == 50 and 0.2 < np.mean(ratios) < 0.6
 
 
+def brute_floors(rows, target):
+    """As the study has it: the sorted needed scores of all other sessions, at their finite-sample quantile."""
+    out = {}
+    for s in {r[0] for r in rows}:
+        others = sorted(r[1] for r in rows if r[2] and r[1] is not None and r[0] != s)
+        out[s] = others[max(0, min(len(others) - 1, math.floor((1 - target) * (len(others) + 1)) - 1))] if others else 0.0
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_conformal_floors_of_all_sessions(spark, seed):
+    rng = random.Random(seed)
+    rows = [("hot" if rng.random() < 0.35 else f"s{rng.randrange(20)}", rng.choice([round(rng.random(), 4), 0.25, 0.031]), rng.random() < 0.3) for _ in range(200 + seed)]
+    rows += [("unneeded", 0.5, False), ("null", None, True), ("low", 0.0001, True)]
+    for held in (rows, [("a", 0.4, True), ("a", 0.2, True), ("b", 0.3, False)], [("a", 0.3, False)], *([(f"t{i}", i / 100, True) for i in range(n)] for n in (20, 21))):
+        df = spark.createDataFrame(held, "session string, score double, label boolean")
+        got = models.conformal_floors(df, "score", "label", 0.1, finite=True).collect()
+        assert {r.session: r.floor for r in got} == brute_floors(held, 0.9) and len(got) == len({r[0] for r in held})
+
+
 def test_left_out_scores(spark):
     rng = random.Random(3)
     rows = [(f"s{i % 5}", i, [1.0, float(x)], rng.random() < 1 / (1 + math.exp(-2 * x))) for i in range(400) for x in [rng.gauss(0, 1)]]
