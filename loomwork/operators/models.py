@@ -6,13 +6,15 @@ predictions cover every row.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SAMPLE = 50_000
-FOLDS = 32  # sessions left out together where there are more of them
+FOLDS = 32  # sessions whose models are updated together
 
 
 def fit(x: np.ndarray, y: np.ndarray, steps: int = 2000, rate: float = 0.5, l2: float = 1e-3) -> np.ndarray:
@@ -37,37 +39,91 @@ def logistic_fit(df: DataFrame, features: str, label: str, keys: list[str], step
     return fit(np.stack(rows[features]), rows[label].to_numpy(float), steps)
 
 
+def _without(known: tuple, folds: list[str], common: np.ndarray, steps: int, l2: float = 1e-3) -> list[np.ndarray | None]:
+    """Weights of the models without each of ``folds``: Newton steps from the common fit over distinct rows, to the optimum.
+
+    What has no optimum, as only one class is left, or isn't reached is fitted by descent; None where no rows are left.
+    """
+    own, x, y, standardise = known
+    rows, at = np.unique(x, axis=0, return_inverse=True)
+    at, column, d = at.reshape(-1), {f: i for i, f in enumerate(folds)}, x.shape[1]
+    n, hits = (np.repeat(np.bincount(at, w, minlength=len(rows))[:, None], len(folds), 1) for w in (np.ones(len(y)), y))
+    taken = np.array([column.get(f, -1) for f in own])
+    held = taken >= 0
+    np.subtract.at(n, (at[held], taken[held]), 1.0)
+    np.subtract.at(hits, (at[held], taken[held]), y[held])
+    size = np.maximum(1, n.sum(0))
+    sd = np.ones((d, len(folds)))
+    if standardise:
+        mean = rows.T @ n / size
+        for k in range(1, d):
+            sd[k] = np.sqrt((n * (rows[:, k, None] - mean[k]) ** 2).sum(0) / size)
+        sd[sd < 1e-12] = 1
+    penalty = l2 * sd**2  # of weights of plain features
+    penalty[0] = 0
+    squares = (rows[:, :, None] * rows[:, None, :]).reshape(len(rows), -1)
+    w, moved = np.repeat(common[:, None], len(folds), 1), np.full(len(folds), np.inf)
+    with np.errstate(all="ignore"):
+        for _ in range(30):
+            p = 1 / (1 + np.exp(-np.clip(rows @ w, -60, 60)))
+            slope = rows.T @ (n * p - hits) / size + penalty * w
+            bend = (squares.T @ (n * p * (1 - p)) / size).T.reshape(-1, d, d) + np.eye(d) * penalty.T[:, :, None]
+            try:
+                step = np.linalg.solve(bend, slope.T[:, :, None])[:, :, 0].T
+            except np.linalg.LinAlgError:
+                break
+            w, moved = w - step, np.abs(step).max(0)
+            if moved.max() < 1e-9:
+                break
+    out: list[np.ndarray | None] = []
+    for f, i in column.items():
+        rest = own != f
+        if not rest.any():
+            out.append(None)
+        elif 0 < hits[:, i].sum() < size[i] and moved[i] < 1e-6:
+            out.append(w[:, i])
+        else:
+            out.append(_plain_fit(x[rest], y[rest], standardise, steps))
+    return out
+
+
+def _plain_fit(x: np.ndarray, y: np.ndarray, standardise: bool, steps: int) -> np.ndarray:
+    """Weights of plain features, by a fit of standardised ones if asked."""
+    mu, sd = np.zeros(x.shape[1]), np.ones(x.shape[1])
+    if standardise:
+        mu[1:], sd[1:] = x[:, 1:].mean(0), x[:, 1:].std(0)
+        sd[sd == 0] = 1
+    w = fit((x - mu) / sd, y, steps) / sd
+    w[0] -= mu @ w
+    return w
+
+
 def left_out_scores(df: DataFrame, features: str, label: str, keys: list[str], session: str = "session", steps: int = 2000, sample: int = SAMPLE, standardise: bool = False) -> DataFrame:
-    """``df`` with ``p``: the prediction of a model that saw no row of the row's fold of sessions; 0.5 without training rows.
+    """``df`` with ``p``: the prediction of a model that saw no row of the row's session; 0.5 without training rows.
 
-    A fold is one session where there are at most ``FOLDS``, else the sessions of one hash.
+    Each session of the sample has a model of its own, updated from a common fit; sessions without sampled rows take the common one.
     """
     spark = df.sparkSession
-    few = df.select(session).distinct().limit(FOLDS + 1).count() <= FOLDS
-    fold = F.col(session).cast("string") if few else F.pmod(F.xxhash64(session), F.lit(FOLDS)).cast("string")
-    marked = df.withColumn("__fold", F.coalesce(fold, F.lit("")))
+    marked = df.withColumn("__fold", F.coalesce(F.col(session).cast("string"), F.lit("")))
     known = _sample(marked.select(*keys, "__fold", features, label), keys, sample).toPandas()
-    sent = spark.sparkContext.broadcast((known["__fold"].to_numpy(str), np.stack(known[features]) if len(known) else np.zeros((0, 1)), known[label].to_numpy(float)))
-    folds = sorted(known["__fold"].unique()) if len(known) else []
-    names = spark.createDataFrame([(f,) for f in folds] or [("",)], "fold string")
-
-    def train(batch: pd.DataFrame) -> pd.DataFrame:
-        own, x, y = sent.value
-        f = batch["fold"].iloc[0]
-        rest = own != f
-        if not rest.any():
-            return pd.DataFrame({"fold": [f], "w": [None], "mu": [None], "sd": [None]})
-        mu, sd = np.zeros(x.shape[1]), np.ones(x.shape[1])
-        if standardise:
-            mu[1:], sd[1:] = x[rest][:, 1:].mean(0), x[rest][:, 1:].std(0)
-            sd[sd == 0] = 1
-        return pd.DataFrame({"fold": [f], "w": [fit((x[rest] - mu) / sd, y[rest], steps)], "mu": [mu], "sd": [sd]})
-
-    models = names.groupBy("fold").applyInPandas(train, "fold string, w array<double>, mu array<double>, sd array<double>")
-    scaled = F.zip_with(F.zip_with(features, "mu", lambda a, b: a - b), "sd", lambda a, b: a / b)
-    z = F.aggregate(F.zip_with(scaled, "w", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-    joined = marked.join(F.broadcast(models), F.col("__fold") == F.col("fold"), "left")  # at most FOLDS rows
-    return joined.withColumn("p", F.coalesce(1 / (1 + F.exp(-z)), F.lit(0.5))).drop("__fold", "fold", "w", "mu", "sd")
+    if known.empty:
+        return marked.withColumn("p", F.lit(0.5)).drop("__fold")
+    data = (known["__fold"].to_numpy(str), np.stack(known[features]), known[label].to_numpy(float), standardise)
+    common = _plain_fit(*data[1:], steps)
+    sent = spark.sparkContext.broadcast(data)
+    folds = sorted(known["__fold"].unique())
+    blocks = spark.createDataFrame([(folds[i : i + FOLDS],) for i in range(0, len(folds), FOLDS)], "folds array<string>")
+
+    def train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for block in batch["folds"]:
+                yield pd.DataFrame({"fold": list(block), "w": _without(sent.value, list(block), common, steps)})
+
+    models = blocks.repartition(spark.sparkContext.defaultParallelism).mapInPandas(train, "fold string, w array<double>")
+    joined = marked.join(F.broadcast(models), F.col("__fold") == F.col("fold"), "left")  # at most a row per sampled row
+    w = F.when(F.col("fold").isNull(), F.array(*map(F.lit, common.tolist()))).otherwise(F.col("w"))
+    z = F.aggregate(F.zip_with(features, w, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+    return joined.withColumn("p", F.coalesce(1 / (1 + F.exp(-z)), F.lit(0.5))).drop("__fold", "fold", "w")
 
 
 def conformal_floors(scored: DataFrame, score: str, label: str, miss: float, session: str = "session", finite: bool = False) -> DataFrame:

@@ -259,6 +259,27 @@ def test_left_out_scores(spark):
     assert 1.2 < w[1] < 2.8
 
 
+@pytest.mark.parametrize("standardise", [False, True])
+def test_every_session_is_left_out_alone(spark, standardise):
+    rng = random.Random(4)
+    rows = []
+    for i in range(600):
+        session = "hot" if i % 3 == 0 else f"s{i % 40}"  # more sessions than are fitted together, one of a third of all rows
+        x = float(rng.randrange(-3, 4))
+        rows.append((session, i, [1.0, x, float(session == "hot")], rng.random() < 1 / (1 + math.exp(-x if session != "hot" else x))))
+    df = spark.createDataFrame(rows, "session string, id int, x array<double>, y boolean")
+    got = {r.id: r.p for r in models.left_out_scores(df, "x", "y", ["id"], steps=500, standardise=standardise).collect()}
+    assert len(got) == 600
+    for s in sorted({r[0] for r in rows}):
+        x, y = np.array([r[2] for r in rows if r[0] != s]), np.array([r[3] for r in rows if r[0] != s], float)
+        mu, sd = np.zeros(3), np.ones(3)
+        if standardise:
+            mu[1:], sd[1:] = x[:, 1:].mean(0), x[:, 1:].std(0)
+            sd[sd == 0] = 1
+        w = models.fit((x - mu) / sd, y, 6000)
+        assert all(abs(got[r[1]] - 1 / (1 + math.exp(-((np.array(r[2]) - mu) / sd) @ w))) < 1e-4 for r in rows if r[0] == s)
+
+
 def test_running_totals(spark):
     rows = [(k, i, i % 7) for k in (None, "a", "b") for i in range(200)] + [("hot", i, 1) for i in range(2000)]
     df = spark.createDataFrame(rows, "k string, i int, v int")
