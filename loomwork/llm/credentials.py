@@ -23,24 +23,17 @@ from pyspark.sql import functions as F
 ALONE = {"password", "passwd", "pwd", "passphrase", "passwort", "secret", "token", "apikey", "authtoken", "credential", "credentials", "auth", "secretkey", "accesskey", "accountkey", "privatekey", "pat"}
 PAIRS = {("api", "key"), ("secret", "key"), ("access", "key"), ("private", "key"), ("signing", "key"), ("account", "key"), ("auth", "key"), ("encryption", "key"), ("master", "key"), ("service", "key"), ("deploy", "key"), ("shared", "key"), ("storage", "key"), ("webhook", "key"), ("client", "key"), ("license", "key"), ("hmac", "key"), ("session", "key"), ("admin", "pass"), ("db", "pass"), ("user", "pass"), ("root", "pass")}
 # Forms of keys that issuers give out.
-ISSUED = (
-    r"(?:AKIA|ASIA)[0-9A-Z]{16}"
-    r"|gh[pousr]_[A-Za-z0-9]{30,}"
-    r"|github_pat_[A-Za-z0-9_]{30,}"
-    r"|glpat-[A-Za-z0-9_-]{18,}"
-    r"|npm_[A-Za-z0-9]{30,}"
-    r"|pypi-[A-Za-z0-9_-]{30,}"
-    r"|sk-(?:[A-Za-z0-9]+-)*[A-Za-z0-9_]{20,}"
-    r"|(?:sk|pk|rk|pk\d)_(?:live|test)_[A-Za-z0-9]{16,}"
-    r"|xox[abeoprs]-[A-Za-z0-9-]{10,}"
-    r"|AIza[0-9A-Za-z_-]{35}"
-    r"|hf_[A-Za-z0-9]{30,}"
-    r"|SG\.[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{16,}"
-    r"|dop_v1_[0-9a-f]{40,}"
-    r"|eyJ[A-Za-z0-9_-]{5,}\.eyJ[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]{8,}"
-)
+_FORMS = (
+    (r"(?:AKIA|ASIA)", r"[0-9A-Z]{16}"), (r"gh[pousr]_", r"[A-Za-z0-9]{30,}"), (r"github_pat_", r"[A-Za-z0-9_]{30,}"), (r"glpat-", r"[A-Za-z0-9_-]{18,}"), (r"npm_", r"[A-Za-z0-9]{30,}"),
+    (r"pypi-", r"[A-Za-z0-9_-]{30,}"), (r"sk-", r"(?:[A-Za-z0-9]+-)*[A-Za-z0-9_]{20,}"), (r"(?:sk|pk|rk|pk\d)_(?:live|test)_", r"[A-Za-z0-9]{16,}"), (r"xox[abeoprs]-", r"[A-Za-z0-9-]{10,}"), (r"AIza", r"[0-9A-Za-z_-]{35}"),
+    (r"hf_", r"[A-Za-z0-9]{30,}"), (r"SG\.", r"[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{16,}"), (r"dop_v1_", r"[0-9a-f]{40,}"), (r"eyJ", r"[A-Za-z0-9_-]{5,}\.eyJ[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]{8,}"),
+)
+ISSUED = "|".join(start + rest for start, rest in _FORMS)
+# What a text needs for each rule. A name's last word may be cut in two (``pass_word``) and no letter follows it; the last word of a pair stands whole.
+_NAMES = sorted("[^a-z\\s]*".join(w) + "(?![a-z])" for w in ALONE) + sorted({w for _, w in PAIRS})
+_SIGNS = ["pass", "pwd", "secret", "token", "auth", "bearer", "basic", "credential", "://", r"-u[ \t=]", "--(?:proxy-)?user"]
 #: A text without any of these holds no credential.
-HINT = r"(?i)pass|pwd|secret|token|key|auth|bearer|basic|credential|://|-u |--user|akia|asia|gh[pousr]_|glpat-|npm_|pypi-|sk-|_live_|_test_|xox|aiza|hf_|sg\.|dop_v1|eyj"
+HINT = "(?i)" + "|".join(dict.fromkeys([*_SIGNS, *_NAMES, *(start.replace(r"\d", ".") for start, _ in _FORMS)]))
 
 _QUOTE = r"""\\*["'`]"""
 _LINE = r"(?:[ \t]*(?:\d+→|[\w./-]+:\d+:))?"

@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -31,6 +32,21 @@ def test_masking_keeps_everything_else():
     assert masked == text.replace("Zx9!kk20slow", "*" * 12).replace(KEY, "\n".join("*" * len(x) for x in KEY.split("\n")))
 
 
+def test_every_rule_passes_the_prefilter(transcript):
+    value = "Zx9kQ2mW7rT4"
+    names = [*credentials.ALONE, *("_".join(p) for p in credentials.PAIRS), *("".join([p[0], p[1].title()]) for p in credentials.PAIRS), "DEPLOY_PAT", "deployPat", "pass_word", "PWD2", "p.wd"]
+    texts = [f"{n}={value}" for n in sorted(names)] + [f"--{n} {value}" for n in ("x-pat", "pat")] + [f"<pat>{value}</pat>", f"pat('{value}!')", f"name: PAT\n  value: {value}"]
+    texts += [f"curl {o}joe:{value} h" for o in ("-u ", "-u=", "-u\t", "--user ", "--user=", "--proxy-user ", "--proxy-user=")] + [f"ftp://joe:{value}@h", f"Bearer {value * 2}", f"Basic {value * 2}"]
+    k, d = "Ab3" * 20, "0a" * 25
+    texts += ["AKIA" + "A1" * 8, "ASIA" + "A1" * 8, *(f"gh{c}_{k}" for c in "pousr"), "github_pat_" + k, "glpat-" + k, "npm_" + k, "pypi-" + k, "sk-" + k, *(f"{x}_{y}_{k}" for x in ("sk", "pk", "rk", "pk1") for y in ("live", "test"))]
+    texts += [*(f"xox{c}-{k}" for c in "abeoprs"), "AIza" + k[:35], "hf_" + k, f"SG.{k}.{k}", "dop_v1_" + d, f"eyJ{k}.eyJ{k}.{k}", f"-----BEGIN PRIVATE KEY-----\n{k}\n-----END PRIVATE KEY-----"]
+    missed = [t for t in texts if not credentials.find(t)]
+    assert missed == []
+    table = transcript([(i, "s", i, "user", False, "x", [said(t)]) for i, t in enumerate(texts)])
+    assert sorted({r.row_id for r in credentials.scanned(table).select("row_id").collect()}) == list(range(len(texts)))
+    assert re.search(credentials.HINT, "the path of a pattern in src/main.c") is None
+
+
 def test_credentials_with_their_place(transcript):
     rows = [(7, "s", 0, "user", None, None, [said("hi"), result("a", None, items=[("text", "x"), ("text", "pwd: 'Map-input572'")])]), (8, "s", 1, "user", None, None, None), (None, "s", 2, "user", None, None, [said("pwd: 'Map-input572'")])]
     table = transcript(rows + rows[:1])
