@@ -6,7 +6,7 @@ sources. Each leaf's texts are put in a new seeded order per epoch and its budge
 the last text may be used in part.
 
 Results for odd input: equal texts are one text, used together at most ``max_repeats`` times, and belong to the source
-of the earliest document; texts without tokens and sources without a target are left out; null languages are one language;
+of the earliest document among those whose source has a target that can be met; texts without tokens and sources without a target are left out; null languages are one language;
 null or negative shares and repeats count as 0; without ``total`` the mix is the largest that meets all targets that
 can be met at all.
 """
@@ -64,9 +64,11 @@ def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, seed
     wanted = targets.select("source", "target_share", "max_repeats").dropna(subset=["source"]).dropDuplicates(["source"]).limit(LEAVES).collect()
     shares = {r.source: r.target_share for r in wanted}
     repeats = {r.source: max(0, r.max_repeats or 0) for r in wanted}
-    texts = documents.filter(F.length("text") > 0).groupBy(F.sha2("text", 256).alias("key")).agg(F.min(F.struct("doc_id", "source", "lang")).alias("d"), F.first("text").alias("text"))
+    usable = documents.sparkSession.createDataFrame([(s,) for s, w in shares.items() if (w or 0) > 0 and repeats[s] > 0], "source string")
+    targeted = documents.filter(F.length("text") > 0).join(F.broadcast(usable), "source", "left_semi")  # at most LEAVES sources
+    texts = targeted.groupBy(F.sha2("text", 256).alias("key")).agg(F.min(F.struct("doc_id", "source", "lang")).alias("d"), F.first("text").alias("text"))
     sized = with_tokens(texts.select("d.*", "text"), "text", tokenizer=tokenizer).drop("text").withColumn("lang", F.coalesce(F.lower(F.trim("lang")), F.lit("und")))
-    sized = written(sized.filter((F.col("n_tokens") > 0) & F.col("source").isNotNull()), "sizes")
+    sized = written(sized.filter(F.col("n_tokens") > 0), "sizes")
     found = sized.groupBy("source", "lang").agg(F.sum("n_tokens").alias("n")).limit(LEAVES + 1).collect()
     if len(found) > LEAVES:
         raise ValueError(f"more than {LEAVES} leaves; group the languages or sources first")

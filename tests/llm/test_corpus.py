@@ -123,3 +123,11 @@ def test_mixing(documents, spark):
     assert all(abs(shares[s].share - t) < 0.001 for s, t in (("a", 0.5), ("b", 0.3), ("c", 0.2))) and shares["gone"].share == 0
     assert mixing.mix(documents.limit(0), targets).count() == 0
     assert sorted(map(tuple, mixing.mix(documents, targets).collect())) == sorted(map(tuple, rows))
+
+
+def test_mix_takes_texts_from_copies_with_a_target(spark):
+    rows = [(1, None, "en", "one two three"), (2, "a", "en", "one two three"), (3, "none", "en", "four five six"), (4, "b", "en", "four five six"), (5, "zero", "en", "seven eight nine"), (6, "a", "en", "seven eight nine"), (7, "b", "en", "ten eleven"), (8, "a", "en", "ten eleven"), (9, None, "en", "twelve")]
+    texts = spark.createDataFrame(rows, "doc_id long, source string, lang string, text string")
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1), ("zero", 0.0, 1)], "source string, target_share double, max_repeats int")
+    used = {(r.doc_id, r.source) for r in mixing.mix(texts, targets, total=1000).collect()}
+    assert used == {(2, "a"), (4, "b"), (6, "a"), (7, "b")}
