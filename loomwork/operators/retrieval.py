@@ -44,10 +44,11 @@ def recall(ranked: DataFrame, truth: DataFrame, query_key: str, key: str, at: tu
 
 
 def novelty(documents: DataFrame, key: str, order: list[str], text: str, within: str | None = None) -> DataFrame:
-    """Share of each document's words that no earlier one of the group has: ``key, words, novelty``."""
+    """Share of each document's words that no earlier one of the group has: ``key, words, novelty``; null groups are one group."""
     w = documents.select(key, *order, *([within] if within else []), F.array_distinct(words(F.col(text), "[a-z0-9]{3,}")).alias("w")).filter(F.size("w") > 0)
     each = w.select(key, *order, *([within] if within else []), F.explode("w").alias("token"))
     group = [within, "token"] if within else ["token"]
     first = each.groupBy(*group).agg(F.min(F.struct(*order, key)).alias("first"))
-    mark = each.join(first, group).withColumn("fresh", (F.col("first") == F.struct(*order, key)).cast("int"))
+    same = [F.col(f"l.{g}").eqNullSafe(F.col(f"r.{g}")) for g in group]
+    mark = each.alias("l").join(first.alias("r"), same).select("l.*", "r.first").withColumn("fresh", (F.col("first") == F.struct(*order, key)).cast("int"))
     return mark.groupBy(key).agg(F.count("*").alias("words"), F.avg("fresh").alias("novelty"))

@@ -327,6 +327,13 @@ def test_retrieval(spark):
     assert retrieval.recall(ranked, spark.createDataFrame([("q", 2)], "q string, d int"), "q", "d").first().asDict() == {"recall_1": 0.0, "recall_5": 1.0}
 
 
+def test_novelty_of_null_groups(spark):
+    rows = [(1, "a", "red fox"), (2, None, "red fox jumps"), (3, None, "red dog"), (4, "a", "red dog")]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumn("at", F.col("doc_id"))
+    got = {r.doc_id: (r.words, r.novelty) for r in retrieval.novelty(docs, "doc_id", ["at"], "text", "source").collect()}
+    assert got == {1: (2, 1.0), 2: (3, 1.0), 3: (2, 0.5), 4: (2, 0.5)}
+
+
 def test_costs_and_recorder(spark):
     usage = spark.createDataFrame([("s", i, b, m, 10 * i, i) for i, (b, m) in enumerate([(False, "a"), (False, "a"), (False, "b"), (True, None), (False, "c"), (False, None)])], "session string, at int, is_boundary boolean, message_id string, cache_read long, cache_created long")
     got = [tuple(r)[1:] for r in costs.cache_segments(usage, "session", ["at"]).orderBy("segment").collect()]
