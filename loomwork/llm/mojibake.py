@@ -1,23 +1,24 @@
 """Text garbled by decoding with the wrong character encoding: found, and restored where nothing was lost.
 
 Each way of decoding wrongly is a substitution cipher: a letter became a unit of one or more foreign characters. Which
-ciphers a source has, and which letter a unit stands for there, is learned by expectation-maximization: a bigram model of
-the corpus's own letters weighs, for every unit in its context, the letter it would stand for against the unit as plain
-text; the weights of the ciphers and of the units' letters are then set anew from all occurrences of the source. The
-learned table is applied like ``translate()``; an exact check follows: a run must be made of learned units
-throughout, its bytes must agree, and it must not merely stand in quotes. Replacement characters mark what is lost.
-
-Results for odd input: null and empty texts are sound; text garbled twice or three times is restored by so many steps;
-half-escaped units (``&Atilde;©``) count as their characters; sources that are null form a source of their own; documents without
-id are skipped.
+ciphers a source has, and which letter a unit stands for there, is learned by expectation-maximization against a bigram
+model of the corpus's own letters, apart for every source and cipher (``ciphers.py``). All code pages that Python knows
+serve as starting points (``pages.py``); characters that no page explains are learned as a free cipher from random keys.
+What is learned is a table of units and letters, and texts are restored by that table, as by ``translate()``. An exact
+check follows: bytes must agree, and what merely stands in quotes is no case. Replacement characters mark what is lost.
+
+Three passes: letters are counted over all texts; texts with suspect units are written once with those units; the table
+is learned from the counted units and joined to the suspect texts, the units of each text apart.
+
+Results for odd input: null and empty texts are sound; text garbled several times by one page is restored by so many
+steps; half-escaped units (``&Atilde;©``) count as their characters; sources that are null form a source of their own;
+documents without id are skipped.
 """
 
 from __future__ import annotations
 
 import html
-import math
 import re
-import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -27,260 +28,274 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Single-byte and multi-byte encodings that UTF-8 is mistaken for.
-SINGLE = ["cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1250", "iso8859_2", "iso8859_15", "cp1254", "cp1251"]
-WIDE = ["gb18030", "cp932", "big5"]
-# Older encodings with the scripts they write, and those that they are mistaken for.
-OLDER = {"cp1251": "cyrillic", "koi8_r": "cyrillic", "cp866": "cyrillic", "mac_cyrillic": "cyrillic", "gb18030": "wide", "cp932": "wide", "big5": "wide", "euc_jp": "wide", "euc_kr": "wide"}
-TAKEN_FOR = ["cp1252", "latin-1", "cp1251", "koi8_r", "cp866", "mac_roman", "cp437", "cp850", "cp1250"]
-LEAST_HIGH = 5  # characters beyond ASCII that a line needs before an older encoding is tried
-DEPTH = 3  # times that a text may have been garbled
-SOURCES = 256  # sources that are learned apart; more share a table
+from loomwork.functions.shared import written
+from loomwork.llm.ciphers import Model, learn_key, letter_class, script
+from loomwork.llm.pages import LOST, WIDE, Pages, blocks, letters_of
+
 ROUNDS = 12
-_LOST = "�"
+LINE_GAIN = 6.0  # what a reading of a line must gain, in nats, before its units are counted
+UNREADABLE = -4.5  # nats a character from which a reading is none
+WORD_GAIN = 1.0  # what it must gain for a word, to change it
+CIPHER_GAIN = 30.0  # what a cipher must gain over its different contexts in a source: the price of assuming one more
+SIGN_COST = 6.0  # what reading a letter as no letter costs
+LOST_COST = 9.0  # what a lost letter costs, in nats, where readings are compared
+FREE = "?"  # the cipher of characters that no page explains
+FREE_GAIN = 0.7  # what a free cipher must gain per pair of characters
 _QUOTES = {"“": "”", '"': '"', "`": "`", "'": "'", "‘": "’", "«": "»", "„": "“", "‹": "›", "「": "」", "(": ")", "[": "]"}
 _FLAT = re.compile(r"(?<=[a-zà-ÿ])Ã (?=( ?))")
 _ENTITY = re.compile(r"&(?:[A-Za-z]{2,8}|#\d{2,5}|#x[0-9A-Fa-f]{2,4});")
+_HIGH = re.compile(r"[^\x00-\x7f]+")
+_TOKEN = re.compile(r"[^ \t\n\r\f\v]*[^\x00-\x7f][^ \t\n\r\f\v]*")
+_STRAY = re.compile("[\x80-\x84\x86-\x9f]")
+UNITS = "array<struct<cipher:string,unit:string,letter:string,before:string,after:string,n:long>>"
+Unit = tuple[str, str, str, str, str]
 
 
-def _bytes_of(code: str) -> dict[str, int]:
-    """Character to byte; bytes that the encoding leaves open stand for themselves, as lenient decoders have it."""
-    out: dict[str, int] = {}
-    for b in range(256):
-        try:
-            c = bytes([b]).decode(code)
-        except UnicodeDecodeError:
-            c = chr(b)
-        out.setdefault(c, b)
-    return out
-
-
-class Codes:
-    """Tables and patterns of all single-byte ciphers, built where they are used."""
-
-    def __init__(self) -> None:
-        self.bytes = {w: _bytes_of(w) for w in SINGLE}
-        self.older = {w: _bytes_of(w) for w in TAKEN_FOR}
-        self.chars = {w: {b: c for c, b in t.items()} for w, t in self.bytes.items()}
-        self.pattern = {w: self._pattern(t) for w, t in self.bytes.items()}
-        self.hint = re.compile("[" + "".join(sorted({re.escape(c) for t in self.bytes.values() for c, b in t.items() if 0xC2 <= b <= 0xF4 and ord(c) > 127})) + "]")
-        self.unit = lru_cache(50_000)(self._unit)
-
-    @staticmethod
-    def _pattern(table: dict[str, int]) -> re.Pattern:
-        of = lambda a, b: "[" + "".join(re.escape(c) for c, x in table.items() if a <= x <= b and ord(c) > 127) + "]"
-        more = of(0x80, 0xBF)
-        return re.compile(f"(?:{of(0xC2, 0xDF)}{more}|{of(0xE0, 0xEF)}{more}{{2}}|{of(0xF0, 0xF4)}{more}{{3}})+")
-
-    def decoded(self, text: str, code: str) -> str | None:
-        table = self.bytes[code]
-        try:
-            plain = bytes(table[c] for c in text).decode("utf-8")
-        except (KeyError, UnicodeDecodeError):
-            return None
-        return None if any(unicodedata.category(c) in ("Co", "Cn", "Cs") for c in plain) else plain
-
-    def _unit(self, letter: str, code: str, depth: int) -> str:
-        for _ in range(depth):
-            letter = "".join(self.chars[code].get(b, chr(b)) for b in letter.encode("utf-8", "surrogatepass"))
-        return letter
-
-    def runs(self, text: str) -> Iterator[tuple[int, int, str, int, str]]:
-        """Runs that a cipher explains: start, end, code, depth and the plain text."""
-        if not self.hint.search(text):
-            return
-        for code, pattern in self.pattern.items():
-            for m in pattern.finditer(text):
-                plain, depth = self.decoded(m.group(), code), 1
-                while plain is not None and depth < DEPTH and any(ord(c) > 127 for c in plain) and (more := self._deeper(plain, code)) is not None:
-                    plain, depth = more, depth + 1
-                if plain is not None:
-                    yield m.start(), m.end(), code, depth, plain
-
-    def _deeper(self, text: str, code: str) -> str | None:
-        m = self.pattern[code].fullmatch(text)
-        return self.decoded(text, code) if m else None
-
-
-_WIDE_RUN = re.compile(r"[⺀-鿿가-힣-｡-ￜ　-ヿ� -ӿ‐-◿]{3,}")
-_HAN = re.compile(r"[㐀-鿿｡-ﾟ]")
-
-
-def wide_runs(text: str) -> Iterator[tuple[int, int, str, int, str]]:
-    """Runs of wide characters whose bytes are UTF-8, lost ones apart."""
-    if not _HAN.search(text):
-        return
-    for m in _WIDE_RUN.finditer(text):
-        if not _HAN.search(m.group()):
-            continue
-        for code in WIDE:
-            try:
-                raw = m.group().replace(_LOST, "?").encode(code)
-            except UnicodeEncodeError:
-                continue
-            plain = raw.decode("utf-8", "replace")
-            good = sum(ord(c) > 127 and c != _LOST for c in plain)
-            bad = plain.count(_LOST) + plain.count("?")
-            if good >= 2 and good >= 2 * bad:
-                yield m.start(), m.end(), code, 1, plain
-                break
-
-
-@lru_cache(200_000)
-def letter_class(c: str) -> str:
-    """The class of a character in the bigram model: itself where scripts are small, else its kind."""
-    o = ord(c)
-    if c.isspace():
-        return " "
-    if o < 128:
-        return "0" if c.isdigit() else c.lower()
-    if 0x4E00 <= o <= 0x9FFF or 0x3400 <= o <= 0x4DBF:
-        return "<han>"
-    if 0x3040 <= o <= 0x309F:
-        return "<hira>"
-    if 0x30A0 <= o <= 0x30FF:
-        return "<kata>"
-    if 0xAC00 <= o <= 0xD7A3:
-        return "<hangul>"
-    if o < 0x250 or 0x370 <= o < 0x500 or 0x2010 <= o < 0x2070:
-        return c.lower()
-    return "<" + unicodedata.category(c) + ">"
-
-
-class Model:
-    """Bigrams of classes, and for collapsed classes their characters; small by the number of classes and characters."""
-
-    def __init__(self, bigrams: dict[tuple[str, str], int], singles: dict[str, int]):
-        self.bigrams, self.singles = bigrams, singles
-        self.after: dict[str, int] = Counter()
-        self.kinds: dict[str, int] = Counter()
-        for (a, _), n in bigrams.items():
-            self.after[a] += n
-        for c, n in singles.items():
-            self.kinds[letter_class(c)] += n
-        self.before: dict[str, int] = Counter()
-        for (_, b), n in bigrams.items():
-            self.before[b] += n
-        self.total = sum(self.before.values())
-        self.known: dict[tuple[str, str], float] = {}
-
-    def step(self, a: str, b: str) -> float:
-        """Log probability of ``b`` after ``a``, leaning on how common ``b`` is where the pair is rare."""
-        x, y = letter_class(a), letter_class(b)
-        alone = (self.before.get(y, 0) + 0.01) / (self.total + 20)
-        p = math.log((self.bigrams.get((x, y), 0) + 4 * alone) / (self.after.get(x, 0) + 4))
-        if y[0] == "<" and len(y) > 1:
-            p += math.log((self.singles.get(b, 0) + 0.02) / (self.kinds.get(y, 0) + 0.02 * 8000))
-        return p
-
-    def path(self, before: str, text: str, after: str) -> float:
-        total, last = 0.0, before
-        known = self.known
-        for c in text + after:
-            p = known.get((last, c))
-            if p is None:
-                p = self.step(last, c)
-                if len(known) < 2_000_000:
-                    known[(last, c)] = p
-            total += p
-            last = c
-        return total
+def _plain_entities(text: str) -> str:
+    def sign(m: re.Match) -> str:
+        c = html.unescape(m.group())
+        return c if len(c) == 1 and ord(c) > 127 else m.group()
 
-    def __getstate__(self):
-        return self.bigrams, self.singles
+    return _ENTITY.sub(sign, text) if "&" in text else text
 
-    def __setstate__(self, state):
-        self.__init__(*state)
 
+def quoted(text: str, a: int, b: int) -> bool:
+    """Whether just this run stands between quotes."""
+    return a > 0 and b < len(text) and _QUOTES.get(text[a - 1]) == text[b]
 
-_LINE_RUN = re.compile(r"[^\x00-\x7f](?:[^\n]*[^\x00-\x7f][@-~]?)?")
 
+class Reader:
+    """Reads texts for suspect units, with one model of letters; what it learns of words is remembered."""
 
-def _in_script(text: str, script: str) -> bool:
-    """Whether the text beyond ASCII is nearly all of the script."""
-    high = [ord(c) for c in text if ord(c) > 127]
-    if script == "cyrillic":
-        good = sum(0x400 <= o < 0x460 or o in (0xA0, 0x2014, 0x2013, 0xAB, 0xBB) for o in high)
-    else:
-        good = sum(0x3000 <= o < 0xA000 or 0xAC00 <= o < 0xD7A4 or 0xFF00 <= o < 0xFFEF for o in high)
-    return bool(high) and good >= 0.9 * len(high)
+    def __init__(self, model: Model):
+        self.model, self.pages = model, Pages()
+        self.names = list(self.pages.chars)
+        signs = sorted({c for t in self.pages.chars.values() for c in t if ord(c) > 127} | {chr(i) for i in range(128)})
+        classes: dict[str, int] = {}
+        index = {c: classes.setdefault(c.lower() if len(c.lower()) == 1 else c, len(classes)) for c in signs}
+        shown = list(classes)
+        self.links = model.matrix(shown, shown)
+        self.classes = np.array([[index[c] for c in t] for t in self.pages.chars.values()], dtype=np.int32)
+        case = lambda c: 1 if c.islower() else 2 if c.isupper() else 0
+        self.case = np.array([[case(c) for c in t] for t in self.pages.chars.values()], dtype=np.int8)
+        self.letter = np.array([[c.isalpha() for c in t] for t in self.pages.chars.values()], dtype=bool)
+        self.space = index[" "]
+        self.strange = lru_cache(200_000)(self._strange)
+        self.line = lru_cache(50_000)(self._line)
 
+    # ---- runs that are UTF-8 under some page
 
-def older_runs(codes: Codes, text: str, model: Model, plain_of) -> Iterator[tuple[int, int, str, str]]:
-    """Lines that read best as an older encoding: start, end, cipher and plain text. ``plain_of`` restores a line otherwise."""
-    for m in _LINE_RUN.finditer(text):
-        line = m.group()
-        high = sum(ord(c) > 127 for c in line)
-        if high < LEAST_HIGH or high < 0.4 * len(line):
-            continue
-        if model.path(" ", line, " ") > -2.8 * len(line):  # reads well as it is
-            continue
-        best = max(model.path(" ", line, " "), model.path(" ", plain_of(line), " ")) + 4.0
-        found = None
-        for code in TAKEN_FOR:
-            table = codes.older[code]
-            if not all(c in table or c == _LOST for c in line):
+    def runs(self, text: str) -> Iterator[tuple[int, int, str, int, str]]:
+        for m in _HIGH.finditer(text):
+            for a, b, code, depth, plain in self.pages.read(m.group()):
+                yield m.start() + a, m.start() + b, code, depth, plain
+
+    def wide_runs(self, text: str) -> Iterator[tuple[int, int, str, tuple[tuple[str, str], ...]]]:
+        for m in _HIGH.finditer(text):
+            if found := self.pages.read_wide(m.group()):
+                yield m.start(), m.end(), found[0], found[1]
+
+    def explained(self, run: str) -> bool:
+        """Whether every character of a run is part of something that is UTF-8 under a page, of letters that are known."""
+        at = 0
+        for a, b, _, _, plain in sorted(self.pages.read(run), key=lambda r: (r[0], -r[1])):
+            if a <= at < b and all(self.model.before.get(letter_class(c), 0) > 1 for c in plain):
+                at = b
+        return at >= len(run)
+
+    def known(self, plain: str) -> bool:
+        """Whether any letter of a reading occurs elsewhere; one that holds none has nothing to speak for it."""
+        return any(c.isascii() or self.model.before.get(letter_class(c), 0) > 1 for c in plain)
+
+    # ---- words of older pages
+
+    def _strange(self, token: str) -> bool:
+        """Whether a word reads badly where it leaves ASCII, mixes letters and signs beyond it or is all accented; and no page explains it."""
+        worst, last = [], " "
+        for c in token + " ":
+            if not c.isascii() or not last.isascii():
+                worst.append(self.model.step(last, c, of_class=True))
+            last = c
+        high = [c for c in token if not c.isascii()]
+        letters = sum(c.isalpha() and c < "⺀" for c in high)
+        mixed = len(high) >= 4 and 0 < letters <= 0.85 * len(high)
+        latin = sum(script(c) == "LATIN" for c in high)
+        bare = latin >= 3 and latin >= 0.6 * len(token)  # no Latin script does without the plain letters
+        return (mixed or bare or sum(worst) < -4.6 * len(worst)) and not all(self.explained(m) for m in _HIGH.findall(token))
+
+    def words(self, line: str) -> list[tuple[int, int]]:
+        """Places of the words beyond ASCII of a line in which any word reads badly; those that a page explains aside."""
+        found = [(m.span(), self.strange(m.group())) for m in _TOKEN.finditer(line)]
+        if not any(s for _, s in found):
+            return []
+        return [(a, b) for (a, b), s in found if s or not all(self.explained(r) for r in _HIGH.findall(line[a:b]))]
+
+    def readings(self, words: tuple[str, ...]) -> dict[str, list[float]]:
+        """What every pair of a page and an older page gains for each word, for pairs that gain anything at all."""
+        text = " ".join(words) + " "
+        starts = np.cumsum([0] + [len(w) + 1 for w in words[:-1]])
+        out: dict[str, list[float]] = {}
+        as_is = np.array([self.model.path(" ", w, " ") for w in words])
+        done: dict[bytes, str] = {}
+        for d, name in enumerate(self.names):
+            table = self.pages.bytes[name]
+            raw = bytes(table.get(c, 0x1A) for c in text)
+            if raw.count(0x1A) > 0.02 * len(text) or raw in done:
                 continue
-            raw = bytes(table.get(c, 0x3F) for c in line)
-            for older, script in OLDER.items():
-                if older == code:
-                    continue
-                plain = raw.decode(older, "replace")
-                if plain.count(_LOST) <= 0.05 * len(plain) + 1 and _in_script(plain.replace(_LOST, ""), script):
-                    score = model.path(" ", plain, " ")
-                    if score > best:
-                        best, found = score, (m.start(), m.end(), f"{older}<{code}", plain)
+            done[raw] = name
+            at = np.frombuffer(raw, dtype=np.uint8)
+            ids, case = self.classes[:, at], self.case[:, at]
+            before = np.concatenate([np.full((len(ids), 1), self.space, dtype=np.int32), ids[:, :-1]], axis=1)
+            score = self.links[before, ids]
+            score[:, 1:] -= 1.5 * ((case[:, :-1] == 1) & (case[:, 1:] == 2))
+            score -= SIGN_COST * (self.letter[d, at][None, :] & ~self.letter[:, at])
+            gains = np.maximum(np.add.reduceat(score, starts, axis=1) - as_is, 0)
+            sums = gains.sum(axis=1)
+            sums[d] = 0
+            for e in np.argsort(-sums)[:3]:
+                if sums[e] > LINE_GAIN:
+                    out[f"{self.names[e]}<{name}"] = gains[e].tolist()
+        for raw, name in done.items():
+            if all(b < 128 for b in raw):
+                continue
+            for e in WIDE:
+                gains = []
+                for w in words:
+                    letters = self.wide_letters(w, e, name)
+                    gains.append(max(0.0, self.worth(letters) - self.model.path(" ", w, " ")) if letters else 0.0)
+                if sum(gains) > LINE_GAIN:
+                    out[f"{e}<{name}"] = gains
+        return out
+
+    def worth(self, word: str) -> float:
+        """How well a word reads whose lost letters cost something each."""
+        return self.model.path(" ", word.replace(LOST, ""), " ") - LOST_COST * word.count(LOST)
+
+    def wide_letters(self, word: str, e: str, d: str) -> str:
+        """A word read as an encoding of several bytes; empty if most of it is no wide letter."""
+        plain = bytes(self.pages.bytes[d].get(c, 0x3F) for c in word).decode(e, "replace")
+        high = [c for c in plain if ord(c) > 127]
+        good = sum(script(c) in ("CJK", "HIRAGANA", "KATAKANA", "HANGUL", "HALFWIDTH", "FULLWIDTH", "KATAKANA-HIRAGANA") or "　" <= c <= "〿" or "＀" <= c <= "￯" for c in high)
+        if not high or good < 0.9 * sum(c != LOST for c in high) or plain.count(LOST) > 0.05 * len(plain) + 1:
+            return ""
+        return plain
+
+    def _line(self, words: tuple[str, ...]) -> tuple[str, tuple[bool, ...]]:
+        """The pair of pages that reads the words of a line best, and which words it gains for; the free cipher if none does."""
+        found = self.readings(words)
         if found:
-            yield found
-
-
-def older_units(line: str, plain: str) -> list[tuple[str, str]]:
-    """Unit and letter of every letter, where letters are as many as characters or every two make one."""
-    if len(line) == len(plain):
-        return [(u, x) for u, x in zip(line, plain) if ord(u) > 127]
-    out, at = [], 0
-    for x in plain:
-        width = 1 if at < len(line) and ord(line[at]) < 128 or x == line[at : at + 1] or 0xFF61 <= ord(x) <= 0xFF9F else 2
-        if width == 2:
-            out.append((line[at : at + 2], x))
-        at += width
-    return out
-
-
-def _plain_entities(text: str) -> str:
-    return _ENTITY.sub(lambda m: html.unescape(m.group()) if len(html.unescape(m.group())) == 1 and ord(html.unescape(m.group())) > 127 else m.group(), text) if "&" in text else text
-
-
-def _all_runs(codes: Codes, text: str) -> list[tuple[int, int, str, int, str]]:
-    return [*codes.runs(text), *wide_runs(text)]
+            best = max(found, key=lambda c: sum(found[c]))
+            changed = [(g, w) for g, w in zip(found[best], words) if g > WORD_GAIN]
+            read = sum(g + self.model.path(" ", w, " ") for g, w in changed)
+            if read > UNREADABLE * sum(len(w) + 1 for _, w in changed):
+                return best, tuple(g > WORD_GAIN for g in found[best])
+        dense = tuple(LOST not in w and sum("\x7f" < c < "⺀" and c.isalpha() for c in w) >= max(3, 0.6 * len(w)) for w in words)
+        return (FREE if sum(dense) else ""), dense
+
+    def units(self, word: str, cipher: str) -> list[tuple[str, str]]:
+        """Units of a word and the letters that the cipher's pages give them; plain characters are no units."""
+        if cipher == FREE:
+            return [(c, "") for c in word if ord(c) > 127]
+        e, d = cipher.split("<")
+        if e not in WIDE:
+            old, table = self.pages.chars[e], self.pages.bytes[d]
+            return [(c, old[table[c]] if c in table else LOST) for c in word if ord(c) > 127]
+        table = self.pages.bytes[d]
+        raw = bytes(table.get(c, 0x3F) for c in word)
+        return [(u, x) for u, x in blocks([(i + 1, c) for i, c in enumerate(word)], letters_of(raw, e)) if not u.isascii() or u != x]
+
+    def suspects(self, text: str) -> Iterator[Unit]:
+        """Every unit that may stand for a letter: cipher, unit, letter, and the classes of what stands before and after it."""
+        taken: list[tuple[int, int]] = []
+        for a, b, cipher, words in self.older(text):
+            taken.append((a, b))
+            word = words
+            single = cipher == FREE or cipher.split("<")[0] not in WIDE
+            if single:
+                around = " " + word + " "
+                for i, (c, x) in enumerate(zip(word, self._letters(word, cipher))):
+                    if ord(c) > 127:
+                        yield cipher, c, x, around[i], around[i + 2]
+            else:
+                units = self.units(word, cipher)
+                for i, (u, x) in enumerate(units):
+                    yield cipher, u, x, letter_class(units[i - 1][1][-1:] or " ") if i else " ", letter_class(units[i + 1][1][:1] or " ") if i + 1 < len(units) else " "
+        for a, b, code, depth, plain in self.runs(text):
+            if any(a < d and c < b for c, d in taken) or not self.known(plain):
+                continue
+            before, after = letter_class(text[a - 1 : a] or " "), letter_class(text[b : b + 1] or " ")
+            for i, letter in enumerate(plain):
+                yield (
+                    f"{code}/{depth}", self.pages.unit(letter, code, depth), letter,
+                    letter_class(plain[i - 1]) if i else before, letter_class(plain[i + 1]) if i + 1 < len(plain) else after,
+                )
+        for a, b, code, units in self.wide_runs(text):
+            before, after = letter_class(text[a - 1 : a] or " "), letter_class(text[b : b + 1] or " ")
+            kept = [(u, x) for u, x in units if x.strip(LOST + "?")]
+            for i, (u, x) in enumerate(kept):
+                yield (
+                    code, u, x, letter_class(kept[i - 1][1][-1]) if i else before, letter_class(kept[i + 1][1][0]) if i + 1 < len(kept) else after,
+                )
+
+    def _letters(self, word: str, cipher: str) -> str:
+        if cipher == FREE:
+            return word
+        e, d = cipher.split("<")
+        old, table = self.pages.chars[e], self.pages.bytes[d]
+        return "".join(c if ord(c) < 128 else old[table[c]] if c in table else LOST for c in word)
+
+    def older(self, text: str) -> Iterator[tuple[int, int, str, str]]:
+        """Words that read badly, with the pair of pages that reads their line best."""
+        at = 0
+        for line in text.split("\n"):
+            if not line.isascii():
+                places = self.words(line)
+                if places:
+                    cipher, gains = self.line(tuple(line[a:b] for a, b in places))
+                    if cipher:
+                        for (a, b), gain in zip(places, gains):
+                            if gain and not quoted(line, a, b):
+                                yield at + a, at + b, cipher, line[a:b]
+            at += len(line) + 1
+
+
+# ---- the model of letters
 
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    codes = Codes()
+    pages = Pages()
     for batch in batches:
-        pairs: Counter = Counter()
-        for text in batch["text"]:
-            text = _plain_entities(text)
-            cuts = [(a, b) for a, b, *_ in codes.runs(text)]
-            at = 0
-            for a, b in [*sorted(cuts), (len(text), len(text))]:
-                if a > at:
-                    piece = text[at:a]
-                    pairs.update(zip(" " + piece, piece))
-                at = max(at, b)
-        merged: Counter = Counter()
-        single: Counter = Counter()
-        for (a, b), n in pairs.items():
-            x, y = letter_class(a), letter_class(b)
-            merged[(x, y)] += n
-            if y[0] == "<" and len(y) > 1:
-                single[b] += n
-        rows = [(a, b, n) for (a, b), n in merged.items()] + [(None, c, n) for c, n in single.items()]
+        texts = list(map(_plain_entities, batch["text"]))
+        common = Counter("".join(r for t in texts if not t.isascii() for r in _HIGH.findall(t)))
+
+        @lru_cache(None)
+        def cut(run: str) -> str:
+            """Nothing in place of a run that is wholly UTF-8 under a page, of letters that are as common as its own signs."""
+            usual = sum(common[c] for c in run) / len(run)
+            for a, b, _, _, plain in pages.read(run):
+                seen = [common[c] for c in plain if ord(c) > 127]
+                if b - a == len(run) > 1 and (not seen or min(seen) > 0 and sum(seen) > 0.3 * usual * len(seen)):
+                    return "\n"
+            return run
+
+        texts = [t if t.isascii() else _HIGH.sub(lambda m: cut(m.group()), t) for t in texts]
+        codes = np.frombuffer(("\n" + "\n".join(texts)).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        seen = np.bincount(codes)
+        present = np.flatnonzero(seen)
+        classes: dict[str, int] = {}
+        to_class = np.zeros(len(seen), dtype=np.int64)
+        for c in present:
+            to_class[c] = classes.setdefault(letter_class(chr(c)), len(classes))
+        ids = to_class[codes]
+        names, k = list(classes), len(classes)
+        pairs = np.bincount(ids[:-1] * k + ids[1:], minlength=k * k)
+        rows = [(names[p // k], names[p % k], int(pairs[p])) for p in np.flatnonzero(pairs)]
+        rows += [(None, chr(c), int(seen[c])) for c in present if len(letter_class(chr(c))) > 1]
         yield pd.DataFrame(rows, columns=["a", "b", "n"])
 
 
 def letter_model(documents: DataFrame) -> Model:
-    """The bigram model of all texts, without the runs that some cipher would explain.
+    """The bigram model of all texts, without the runs that some page would explain.
 
     Its tables are collected: at most a row per pair of about a thousand classes and per character of Unicode.
     """
@@ -295,156 +310,192 @@ def letter_model(documents: DataFrame) -> Model:
     return Model(bigrams, singles)
 
 
-def _source_key(documents: DataFrame) -> DataFrame:
-    return documents.withColumn("__source", F.pmod(F.xxhash64(F.coalesce("source", F.lit(""))), F.lit(SOURCES)).cast("int"))
-
-
-def _unlearned(codes: Codes):
-    """A line with every run of UTF-8 read plainly, the longest first."""
-
-    def plain_of(line: str) -> str:
-        taken: list[tuple[int, int, str]] = []
-        for a, b, _, _, plain in sorted(_all_runs(codes, line), key=lambda r: r[0] - r[1]):
-            if not any(a < d and c < b for c, d, _ in taken):
-                taken.append((a, b, plain))
-        for a, b, plain in sorted(taken, reverse=True):
-            line = line[:a] + plain + line[b:]
-        return line
-
-    return plain_of
-
-
-def units_in(codes: Codes, text: str, model: Model) -> Iterator[tuple[str, str, str, str, str]]:
-    """Every unit that may stand for a letter: cipher, unit, letter, and the letters before and after it."""
-    older = list(older_runs(codes, text, model, _unlearned(codes)))
-    for a, b, cipher, plain in older:
-        units = older_units(text[a:b], plain)
-        for i, (unit, letter) in enumerate(units):
-            yield cipher, unit, letter, units[i - 1][1] if i else " ", units[i + 1][1] if i + 1 < len(units) else " "
-    for a, b, code, depth, plain in _all_runs(codes, text):
-        if any(a < d and c < b for c, d, *_ in older):
-            continue
-        before, after = text[a - 1 : a] or " ", text[b : b + 1] or " "
-        if code in WIDE:
-            kept = plain.replace(_LOST, "").replace("?", "")
-            yield f"{code}", text[a:b][:12], kept[:8], before, after
-            continue
-        for i, letter in enumerate(plain):
-            yield f"{code}/{depth}", codes.unit(letter, code, depth), letter, plain[i - 1] if i else before, plain[i + 1] if i + 1 < len(plain) else after
+# ---- the table of units
 
 
-def _occurrences(model_of):
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codes = Codes()
+def _suspect(model_of):
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        reader = Reader(model_of.value)
         for batch in batches:
-            found: Counter = Counter()
-            for source, text in zip(batch["__source"], batch["text"]):
-                if not text.isascii() or "&" in text:
-                    for unit in units_in(codes, _plain_entities(text), model_of.value):
-                        found[(source, *unit)] += 1
-            yield pd.DataFrame([(*k, n) for k, n in found.items()], columns=["source", "cipher", "unit", "letter", "before", "after", "n"])
+            out = []
+            for doc, source, text in zip(batch["doc_id"], batch["__source"], batch["text"]):
+                if text.isascii() and "&" not in text:
+                    continue
+                text = _plain_entities(text)
+                found = Counter(reader.suspects(text))
+                if found or LOST in text or _FLAT.search(text) or _STRAY.search(text):
+                    out.append((doc, source, text, [(*u, n) for u, n in found.items()]))
+            yield pd.DataFrame(out, columns=["doc_id", "__source", "text", "units"])
 
-    return count
+    return read
 
 
 def _learn(model_of):
-    """EM for one source over its distinct units in context."""
+    """EM for one source and cipher over its distinct units in context."""
 
     def learn(group: pd.DataFrame) -> pd.DataFrame:
         model: Model = model_of.value
-        source = int(group["source"].iloc[0])
-        n = group["n"].to_numpy(float)
-        plain = np.array([model.path(b, x, a) for b, x, a in zip(group["before"], group["letter"], group["after"])])
-        as_is = np.array([model.path(b, u, a) for b, u, a in zip(group["before"], group["unit"], group["after"])])
-        gain = np.clip(plain - as_is, -60, 60)
-        cipher, ciphers = pd.factorize(group["cipher"])
-        pair, pairs = pd.factorize(group["cipher"] + "\x1f" + group["unit"] + "\x1f" + group["letter"])
-        weight = np.full(len(ciphers), 0.5)
-        fits = np.full(len(pairs), 0.5)
-        for _ in range(ROUNDS):
-            odds = gain + np.log(weight[cipher] / (1 - weight[cipher])) + np.log(fits[pair] / (1 - fits[pair]))
-            p = 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
-            weight = np.clip((np.bincount(cipher, p * n) + 0.5) / (np.bincount(cipher, n) + 1), 0.02, 0.98)
-            fits = np.clip((np.bincount(pair, p * n) + 0.5) / (np.bincount(pair, n) + 1), 0.02, 0.98)
-        sums = pd.DataFrame({"pair": pair, "pn": p * n, "n": n}).groupby("pair").sum()
-        rows = [(source, *pairs[i].split("\x1f"), r.pn / r.n, int(r.n)) for i, r in sums.iterrows()]
-        return pd.DataFrame(rows, columns=["source", "cipher", "unit", "letter", "p", "n"])
+        source, cipher = group["__source"].iloc[0], group["cipher"].iloc[0]
+        single = cipher == FREE or "<" in cipher and cipher.split("<")[0] not in WIDE
+        rows = (_learn_key if single else _learn_units)(model, cipher, group)
+        return pd.DataFrame([(source, cipher, *r) for r in rows], columns=["source", "cipher", "unit", "letter", "p", "n"])
 
     return learn
 
 
-def learned_units(documents: DataFrame) -> tuple[DataFrame, Model]:
-    """Per source what each unit stands for: ``source, cipher, unit, letter, p, n``; and the letter model."""
+def _learn_key(model: Model, cipher: str, group: pd.DataFrame) -> list[tuple]:
+    """A cipher of one character for one letter: a free table, from the letters of the pages or from random keys."""
+    pairs: Counter = Counter()
+    counts: Counter = Counter()
+    start = {}
+    for u, x, b, a, n in zip(group["unit"], group["letter"], group["before"], group["after"], group["n"]):
+        pairs[(b, u)] += n
+        counts[u] += n
+        if a.isascii():
+            pairs[(u, a)] += n
+        if cipher != FREE and x != LOST:
+            start[u] = x.lower() if len(x.lower()) == 1 else x
+    key = learn_key(pairs, sorted(counts), start, model)
+    gains = key.gains(pairs, model)
+    if sum(gains.values()) - key.price(start, len(model.alphabet())) < CIPHER_GAIN + (FREE_GAIN * len(pairs) if cipher == FREE else 0):
+        return []
+    shown = dict(zip(group["unit"], group["letter"]))
+    out = []
+    for u, x in key.letters.items():
+        was = shown[u]
+        letter = was if cipher != FREE and letter_class(was) == letter_class(x) else x
+        p = key.sure[u] if gains.get(u, 0) > 0 else 0.0
+        out.append((u, letter, p, counts[u]))
+    return out
+
+
+def _learn_units(model: Model, cipher: str, group: pd.DataFrame) -> list[tuple]:
+    """A cipher whose units are several characters: whether each stands for its letter, weighed over all its contexts."""
+    n = group["n"].to_numpy(float)
+    plain = np.array([model.path(b, x.replace(LOST, "").replace("?", "") or x, a) for b, x, a in zip(group["before"], group["letter"], group["after"])])
+    as_is = np.array([model.path(b, u, a) for b, u, a in zip(group["before"], group["unit"], group["after"])])
+    gain = np.clip(plain - as_is, -60, 60)
+    pair, pairs = pd.factorize(group["unit"] + "\x1f" + group["letter"])
+    weight, fits = 0.5, np.full(len(pairs), 0.5)
+    for _ in range(ROUNDS):
+        odds = gain + np.log(weight / (1 - weight)) + np.log(fits[pair] / (1 - fits[pair]))
+        p = 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
+        weight = float(np.clip((p @ n + 0.5) / (n.sum() + 1), 0.02, 0.98))
+        fits = np.clip((np.bincount(pair, p * n) + 0.5) / (np.bincount(pair, n) + 1), 0.02, 0.98)
+    sure, whole = np.bincount(pair, p * n), np.bincount(pair, n)
+    return [(*pairs[i].split("\x1f"), float(sure[i] / whole[i]), int(whole[i])) for i in range(len(pairs))]
+
+
+def learned_units(documents: DataFrame) -> tuple[DataFrame, DataFrame, Model]:
+    """Per source and cipher what each unit stands for, ``source, cipher, unit, letter, p, n``; the suspect texts with
+    their units; and the letter model."""
     model = letter_model(documents)
     sent = documents.sparkSession.sparkContext.broadcast(model)
-    found = _source_key(documents).select("__source", "text").filter(F.length("text") > 0).mapInPandas(_occurrences(sent), "source int, cipher string, unit string, letter string, before string, after string, n long")
-    types = found.groupBy("source", "cipher", "unit", "letter", "before", "after").agg(F.sum("n").alias("n"))
-    return types.groupBy("source").applyInPandas(_learn(sent), "source int, cipher string, unit string, letter string, p double, n long"), model
+    named = documents.withColumn("__source", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
+    texts = named.select("doc_id", "__source", "text").filter((F.length("text") > 0) & F.col("doc_id").isNotNull())
+    suspect = written(texts.mapInPandas(_suspect(sent), f"doc_id long, __source string, text string, units {UNITS}"), "suspect")
+    units = suspect.select("__source", F.inline("units"))
+    types = units.groupBy("__source", "cipher", "unit", "letter", "before", "after").agg(F.sum("n").alias("n"))
+    table = types.groupBy("__source", "cipher").applyInPandas(_learn(sent), "source string, cipher string, unit string, letter string, p double, n long")
+    return table, suspect, model
 
 
-def quoted(text: str, a: int, b: int) -> bool:
-    """Whether just this run stands between quotes."""
-    return a > 0 and b < len(text) and _QUOTES.get(text[a - 1]) == text[b]
+# ---- restoring by the table
 
 
-def restore(text: str, codes: Codes, table: dict[str, dict[str, str]], model: Model) -> tuple[str, int, int]:
+def restore(text: str, reader: Reader, table: dict[str, dict[str, str]]) -> tuple[str, int, int]:
     """The restored text, the number of garbled runs and how many of them are lost."""
-    text = _plain_entities(text) if _ENTITY.search(text) else text
+    model = reader.model
     taken: list[tuple[int, int, str]] = []
-    for a, b, cipher, plain in older_runs(codes, text, model, _unlearned(codes)):
-        known = table.get(cipher, {})
-        units = older_units(text[a:b], plain)
-        if 2 * sum(known.get(u) == x for u, x in units) > len(units):
-            taken.append((a, b, plain))
-    for a, b, code, depth, plain in sorted(_all_runs(codes, text), key=lambda r: (r[0] - r[1], SINGLE.index(r[2]) if r[2] in SINGLE else 99)):
+    keys = {c: str.maketrans({u: x for u, x in t.items() if len(u) == 1}) for c, t in table.items() if c == FREE or "<" in c and c.split("<")[0] not in WIDE}
+    at = 0
+    for line in text.split("\n"):
+        places = [] if line.isascii() else [(a, b) for a, b in reader.words(line) if not quoted(line, a, b)]
+        best, whole = [], 0.0
+        for cipher in table if places else ():
+            if cipher not in keys and "<" not in cipher:
+                continue
+            read, total = [], 0.0
+            for a, b in places:
+                word = line[a:b]
+                plain = word.translate(keys[cipher]) if cipher in keys else by_units(reader.units(word, cipher), word, table[cipher])
+                if plain is None or plain == word:
+                    continue
+                gain = reader.worth(plain) - model.path(" ", word, " ")
+                if cipher == FREE:  # the model has learned these words as they stand, so they are judged by how they read
+                    gain = reader.worth(plain) - UNREADABLE * (len(word) + 1) if reader.strange(word) else 0.0
+                if gain > WORD_GAIN:
+                    read.append((at + a, at + b, plain))
+                    total += gain
+            if total > whole:
+                best, whole = read, total
+        taken += best
+        at += len(line) + 1
+    runs = [(a, b, f"{code}/{depth}", [(reader.pages.unit(c, code, depth), c) for c in plain]) for a, b, code, depth, plain in reader.runs(text)]
+    wide = [(a, b, code, list(units)) for a, b, code, units in reader.wide_runs(text)]
+    order = {n: i for i, n in enumerate(reader.names)}
+    for a, b, cipher, units in sorted(runs + wide, key=lambda r: (r[0] - r[1], -int(r[2].partition("/")[2] or 0), order.get(r[2].split("/")[0], 99))):
         if any(a < d and c < b for c, d, _ in taken) or quoted(text, a, b):
             continue
-        before, after = text[a - 1 : a] or " ", text[b : b + 1] or " "
-        if code in WIDE:
-            kept = plain.replace(_LOST, "").replace("?", "")
-            if code in table and model.path(before, kept, after) / max(1, len(kept)) > model.path(before, text[a:b], after) / (b - a):
+        known = table.get(cipher, {})
+        if cipher in WIDE:
+            plain = by_units(units, text[a:b], known)
+            before, after = text[a - 1 : a] or " ", text[b : b + 1] or " "
+            kept = (plain or "").replace(LOST, "").replace("?", "")
+            if plain and kept and model.path(before, kept, after) / len(kept) > model.path(before, text[a:b], after) / (b - a):
                 taken.append((a, b, plain))
             continue
-        known = table.get(f"{code}/{depth}", {})
-        seen = sum(ord(c) < 128 or model.before.get(letter_class(c), 0) > 1 for c in plain)
-        if all(known.get(codes.unit(c, code, depth)) == c for c in plain) and (seen or len(plain) > 1):
-            taken.append((a, b, plain))
+        if all(u in known for u, _ in units):
+            taken.append((a, b, "".join(known[u] for u, _ in units)))
     for m in _FLAT.finditer(text):  # the second byte, a no-break space, became a plain one
         if not any(c <= m.start() < d for c, d, _ in taken):
             taken.append((m.start(), m.end(), "à" if m.group(1) else "à "))
-    lost = sum(not quoted(text, m.start(), m.end()) for m in re.finditer(_LOST + "+", text) if not any(c <= m.start() < d for c, d, _ in taken))
-    lost += sum(_LOST in p for _, _, p in taken)
-    stray = [m.start() for m in re.finditer("[\x80-\x84\x86-\x9f]", text) if not any(c <= m.start() < d for c, d, _ in taken)]
+    lost = sum(not quoted(text, m.start(), m.end()) for m in re.finditer(LOST + "+", text) if not any(c <= m.start() < d for c, d, _ in taken))
+    lost += sum(LOST in p for _, _, p in taken)
     swap = {}
-    for i in stray:  # bytes of the common Windows page, taken for Latin-1
-        c = bytes([ord(text[i])]).decode("cp1252", "ignore")
-        if c and not quoted(text, i, i + 1):
-            swap[ord(text[i])] = c
+    for m in _STRAY.finditer(text):  # bytes of the common Windows page, taken for Latin-1
+        c = bytes([ord(m.group())]).decode("cp1252", "ignore")
+        if c and not any(x <= m.start() < y for x, y, _ in taken) and not quoted(text, m.start(), m.end()):
+            swap[ord(m.group())] = c
     for a, b, plain in sorted(taken, reverse=True):
         text = text[:a] + plain + text[b:]
     return text.translate(swap), len(taken) + lost + len(swap), lost
 
 
+def by_units(units: list[tuple[str, str]], text: str, known: dict[str, str]) -> str | None:
+    """``text`` with its units replaced by the table; the pages' letters stand in for single units it lacks, if it has most."""
+    if not units or 2 * sum(known.get(u) is not None for u, _ in units) <= sum(x.strip(LOST + "?") != "" for _, x in units):
+        return None
+    out, at = [], 0
+    for u, x in units:
+        i = text.index(u, at)
+        out += [text[at:i], known.get(u, x)]
+        at = i + len(u)
+    return "".join([*out, text[at:]])
+
+
 def restored(documents: DataFrame) -> DataFrame:
     """The affected documents: ``doc_id, garbled_runs, lost_runs, text`` with everything restored that can be."""
-    learned, model = learned_units(documents)
-    tables: dict[int, dict[str, dict[str, str]]] = defaultdict(lambda: defaultdict(dict))
-    for r in learned.filter(F.col("p") > 0.5).toLocalIterator():  # at most the units of the code pages, per source
-        tables[r.source][r.cipher][r.unit] = r.letter
-    sent = documents.sparkSession.sparkContext.broadcast(({k: {c: dict(u) for c, u in v.items()} for k, v in tables.items()}, model))
+    learned, suspect, model = learned_units(documents)
+    sent = documents.sparkSession.sparkContext.broadcast(model)
+    key = ["__source", "cipher", "unit"]
+    named = suspect.withColumn("__doc", F.xxhash64("doc_id", "text"))
+    held = named.select("__doc", "__source", F.inline("units")).select("__doc", *key).distinct()
+    best = learned.filter(F.col("p") > 0.5).groupBy(F.col("source").alias("__source"), "cipher", "unit").agg(F.max_by("letter", F.struct("n", "letter")).alias("letter"))
+    tables = held.join(best, key).groupBy("__doc").agg(F.collect_list(F.struct("cipher", "unit", "letter")).alias("table"))
 
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codes = Codes()
-        known, letters = sent.value
+        reader = Reader(sent.value)
         for batch in batches:
             out = []
-            for doc, source, text in zip(batch["doc_id"], batch["__source"], batch["text"]):
-                if text.isascii() and "&" not in text:
-                    continue
-                whole, n, lost = restore(text, codes, known.get(source, {}), letters)
+            for doc, text, rows in zip(batch["doc_id"], batch["text"], batch["table"]):
+                table: dict[str, dict[str, str]] = defaultdict(dict)
+                for r in rows if rows is not None else ():
+                    table[r["cipher"]][r["unit"]] = r["letter"]
+                whole, n, lost = restore(text, reader, dict(table))
                 if n:
                     out.append((doc, n, lost, whole))
             yield pd.DataFrame(out, columns=["doc_id", "garbled_runs", "lost_runs", "text"])
 
-    texts = _source_key(documents).select("doc_id", "__source", "text").filter((F.length("text") > 0) & F.col("doc_id").isNotNull())
-    return texts.mapInPandas(apply, "doc_id long, garbled_runs int, lost_runs int, text string")
+    joined = named.join(tables, "__doc", "left").select("doc_id", "text", "table")
+    return joined.mapInPandas(apply, "doc_id long, garbled_runs int, lost_runs int, text string")

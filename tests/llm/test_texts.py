@@ -113,7 +113,7 @@ def corpus(spark):
     garble = {
         1000: ("fr", "cp1252", 1), 1001: ("de", "latin-1", 1), 1002: ("ru", "mac_roman", 1), 1003: ("fr", "cp437", 1), 1004: ("de", "cp1252", 2), 1005: ("ja", "latin-1", 1), 1006: ("pt", "cp850", 1),
     }
-    codes = mojibake.Codes()
+    codes = mojibake.Pages()
     for i, (lang, code, depth) in garble.items():
         plain[i] = " ".join(rng.choice(stock[lang]) for _ in range(25))
         rows.append((i, "".join(codes.unit(c, code, depth) if ord(c) > 127 else c for c in plain[i]), lang, "a"))
@@ -137,6 +137,54 @@ def test_restoring_nothing(spark):
     assert mojibake.restored(nothing).count() == 0
 
 
+WORDS = {
+    "fr": "déjà la séance répétée était très complète même après le dépôt façon où à été élève théâtre forêt naïve garçon connaître hôtel".split(),
+    "de": "größer für zurück läuft Übersicht schließt nötig häufig über ältere gelöscht und bleiben können später Gespräch Prüfung".split(),
+    "ru": "память ошибка поэтому раньше быстрее проверка инструмент ответы сборка снова растёт файл запрос журнал очередь сервер ключ строка после".split(),
+    "el": "μνήμη σφάλμα επομένως νωρίτερα γρήγορα έλεγχος εργαλείο απαντήσεις κατασκευή ξανά αρχείο αίτημα ημερολόγιο ουρά κλειδί γραμμή μετά".split(),
+    "en": "the quick report shows a plan that is ready until the door opens and costs more than before while nobody reads it".split(),
+}
+SWAPS = [
+    ("ru", "utf-8", "cp1252"), ("fr", "utf-8", "latin-1"), ("ru", "koi8_r", "latin-1"), ("ru", "utf-8", "cp866"), ("ru", "utf-8", "koi8_r"), ("fr", "utf-8", "cp1253"), ("fr", "utf-8", "cp1257"),
+    ("fr", "cp1252", "cp1251"), ("de", "cp1252", "cp437"), ("fr", "cp1252", "mac_roman"), ("de", "cp850", "cp1252"), ("el", "iso8859_7", "latin-1"), ("el", "cp1253", "cp1252"),
+]
+
+
+def wrongly(text, old, wrong):
+    return "".join(bytes([b]).decode(wrong, "ignore") or chr(b) for b in text.encode(old))
+
+
+def some(rng, lang):
+    return " ".join(rng.choice(WORDS[lang]) for _ in range(rng.randrange(20, 40)))
+
+
+def test_many_swaps_in_one_source(spark):
+    rng = random.Random(5)
+    rows = [(i, some(rng, rng.choice(list(WORDS))), "s") for i in range(600)]
+    plain = {1000 + 10 * k + j: (some(rng, lang), old, wrong) for k, (lang, old, wrong) in enumerate(SWAPS) for j in range(6)}
+    rows += [(i, wrongly(t, old, wrong), "s") for i, (t, old, wrong) in plain.items()]
+    got = {r.doc_id: r.text for r in mojibake.restored(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert set(got) <= set(plain)  # no sound text
+    assert sum(got.get(i) == t for i, (t, _, _) in plain.items()) >= 0.95 * len(plain)
+
+
+def test_a_cipher_of_no_page_in_one_of_two_sources(spark):
+    rng = random.Random(6)
+    rows = [(i, some(rng, rng.choice(["en", "ru", "fr"])), rng.choice("tu")) for i in range(900)]
+    letters = sorted({c for w in WORDS["ru"] for c in w})
+    signs = list("ąćęłńóśźżčďěňřšťůžāēģīķļņšūžőű")[: len(letters)]
+    rng.shuffle(signs)
+    plain = {i: some(rng, "ru") for i in range(2000, 2040)}
+    rows += [(i, t.translate(str.maketrans(dict(zip(letters, signs)))), "t") for i, t in plain.items()]
+    documents = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r.text for r in mojibake.restored(documents).collect()}
+    assert set(got) == set(plain)
+    right = [a == b for i, t in plain.items() for a, b in zip(got[i], t)]
+    assert sum(right) > 0.9 * len(right)
+    table, _, _ = mojibake.learned_units(documents)
+    assert {(r.source, r.cipher) for r in table.filter("p > 0.5").select("source", "cipher").distinct().collect()} == {("=t", "?")}
+
+
 def test_very_long_texts(transcript):
     rng = random.Random(9)
     long = words(rng, 300_000)
