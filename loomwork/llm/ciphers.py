@@ -17,7 +17,9 @@ from functools import lru_cache
 import numpy as np
 
 RESTARTS = 24
+FINALISTS = 4  # keys of the best restarts that are refined
 ROUNDS = 40
+SHARED = 25.0  # nats that a letter of two units costs: a cipher turns each letter into a unit of its own, but for case
 PLAIN_LEAST = 9.0  # nats beyond which strangeness of plain text is no further evidence
 START = 0.98  # belief in the letter of the starting page
 _FLOOR = 0.002  # chance of a letter after a little known one of its script
@@ -212,7 +214,8 @@ def learn_key(pairs: Counter, units: list[str], start: dict[str, str], model: Mo
         return q
 
     def worth(best: np.ndarray) -> float:
-        return float(fixed[np.arange(k), best].sum() + (within * inner[np.ix_(best, best)]).sum() + held[np.arange(k), best].sum())
+        shared = k - len(set(best.tolist()))
+        return float(fixed[np.arange(k), best].sum() + (within * inner[np.ix_(best, best)]).sum() + held[np.arange(k), best].sum()) - SHARED * shared
 
     def climb(best: np.ndarray) -> np.ndarray:
         """Gives single units their best letter beside all others in turn, until nothing moves: what EM leaves on a ledge."""
@@ -223,6 +226,7 @@ def learn_key(pairs: Counter, units: list[str], start: dict[str, str], model: Mo
                 out, into = within[i].copy(), within[:, i].copy()
                 out[i] = into[i] = 0
                 field = fixed[i] + held[i] + into @ inner[best] + inner[:, best] @ out + own[i] * diagonal
+                field -= SHARED * np.isin(np.arange(m), np.delete(best, i))
                 x = int(field.argmax())
                 if field[x] > field[best[i]] + 1e-9:
                     best[i], moved = x, True
@@ -230,6 +234,21 @@ def learn_key(pairs: Counter, units: list[str], start: dict[str, str], model: Mo
                 break
         return best
 
+    def swap(best: np.ndarray) -> np.ndarray:
+        """Lets two units exchange their letters while the whole gains by it."""
+        value, before = worth(best), -np.inf
+        while value > before + 1e-9:
+            before = value
+            for i in range(k):
+                for j in range(i):
+                    trial = best.copy()
+                    trial[i], trial[j] = best[j], best[i]
+                    if (v := worth(trial)) > value + 1e-9:
+                        best, value = trial, v
+            best = climb(best)
+            value = worth(best)
+        return best
+
     if start:
         q = np.exp(held)
         q = settle(q / q.sum(axis=1, keepdims=True))
@@ -239,7 +258,7 @@ def learn_key(pairs: Counter, units: list[str], start: dict[str, str], model: Mo
         for _ in range(RESTARTS):
             trial = climb(settle(rng.dirichlet(np.ones(m), size=k)).argmax(axis=1))
             found.append((worth(trial), tuple(trial)))
-        best = np.array(max(found)[1])
+        best = max((swap(np.array(t)) for _, t in sorted(found, reverse=True)[:FINALISTS]), key=worth)
         q = np.zeros((k, m))
         q[np.arange(k), best] = 1.0
     key = {u: letters[best[i]] for i, u in enumerate(units)}
