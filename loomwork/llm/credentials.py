@@ -14,14 +14,21 @@ from __future__ import annotations
 import base64
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomwork.llm.lexer import Token, masked_literal, tokens
+
 # Words that end the name of a credential, alone or as a pair.
 ALONE = {"password", "passwd", "pwd", "passphrase", "passwort", "secret", "token", "apikey", "authtoken", "credential", "credentials", "auth", "secretkey", "accesskey", "accountkey", "privatekey", "pat"}
 PAIRS = {("api", "key"), ("secret", "key"), ("access", "key"), ("private", "key"), ("signing", "key"), ("account", "key"), ("auth", "key"), ("encryption", "key"), ("master", "key"), ("service", "key"), ("deploy", "key"), ("shared", "key"), ("storage", "key"), ("webhook", "key"), ("client", "key"), ("license", "key"), ("hmac", "key"), ("session", "key"), ("admin", "pass"), ("db", "pass"), ("user", "pass"), ("root", "pass")}
+# Words after a credential's name that tell several apart; words that end in pass and mean none; callees whose second argument is a password.
+QUALIFIERS = {"v", "base", "old", "new", "prod", "dev", "staging"}
+NO_PASS = {"bypass", "compass", "surpass", "overpass", "underpass"}
+SIGN_IN = {"login", "signin", "authenticate", "log_in", "sign_in"}
 # Forms of keys that issuers give out.
 _FORMS = (
     (r"(?:AKIA|ASIA)", r"[0-9A-Z]{16}"), (r"gh[pousr]_", r"[A-Za-z0-9]{30,}"), (r"github_pat_", r"[A-Za-z0-9_]{30,}"), (r"glpat-", r"[A-Za-z0-9_-]{18,}"), (r"npm_", r"[A-Za-z0-9]{30,}"),
@@ -31,16 +38,13 @@ _FORMS = (
 ISSUED = "|".join(start + rest for start, rest in _FORMS)
 # What a text needs for each rule. A name's last word may be cut in two (``pass_word``) and no letter follows it; the last word of a pair stands whole.
 _NAMES = sorted("[^a-z\\s]*".join(w) + "(?![a-z])" for w in ALONE) + sorted({w for _, w in PAIRS})
-_SIGNS = ["pass", "pwd", "secret", "token", "auth", "bearer", "basic", "credential", "://", r"-u[ \t=]", "--(?:proxy-)?user"]
+_SIGNS = ["pass", *sorted(SIGN_IN), "pwd", "secret", "token", "auth", "bearer", "basic", "credential", "://", r"-u[ \t=]", "--(?:proxy-)?user"]
 #: A text without any of these holds no credential.
 HINT = "(?i)" + "|".join(dict.fromkeys([*_SIGNS, *_NAMES, *(start.replace(r"\d", ".") for start, _ in _FORMS)]))
 
 _QUOTE = r"""\\*["'`]"""
 _LINE = r"(?:[ \t]*(?:\d+→|[\w./-]+:\d+:))?"
-_NAMED = re.compile(
-    rf"""(?<![\w$.-])(?P<name>[A-Za-z_$-][\w$.-]*)(?:{_QUOTE})?[ \t]*(?::=|=>|==|=|:)[ \t]*"""
-    rf"""(?:(?P<q>{_QUOTE})(?P<inner>(?:(?!(?P=q))[^\n])*?)(?P=q)|(?P<bare>[^\s"'`,;|(){{}}\[\]<>&\\]+))"""
-)
+_BARE = re.compile(r"""[^\s"'`,;|(){}\[\]<>&\\]+""")
 _OPTION = re.compile(rf"""(?<!\S)--?(?P<name>[A-Za-z][\w-]*)[ \t]+(?:(?P<q>{_QUOTE})(?P<inner>(?:(?!(?P=q))[^\n])*?)(?P=q)|(?P<bare>[^\s"'`,;|(){{}}\[\]<>&\\-][^\s"'`,;|(){{}}\[\]<>&\\]*))""")
 _SPOKEN = re.compile(
     r"""(?i)(?<![\w.-])(?:pass(?:word|wd|phrase)|pwd|secret(?:[ _]key)?|(?:access|auth|api|refresh|bearer)[ _-]?(?:token|key)|token|credentials?)(?=[ \t(:=|])"""
@@ -49,12 +53,17 @@ _SPOKEN = re.compile(
 _SCHEME = re.compile(r"""(?i)(?<![\w-])(?:(?P<head>(?:proxy-)?authorization)["']?[ \t]*[:=]?[ \t]*\\*["']?[ \t]*)?(?P<scheme>bearer|basic|token|apikey|digest)[ \t]+(?P<bare>[A-Za-z0-9+/=_.~:-]{8,})""")
 _ADDRESS = re.compile(r"""(?i)\b[a-z][a-z0-9+.-]*://(?P<user>[^\s:/@"'`<>]*):(?P<bare>[^\s/@"'`<>]+)@""")
 _USER = re.compile(r"""(?<!\S)(?:-u|--user|--proxy-user)(?:[ \t]+|=)(?:[\w.@-]+:(?:(?P<q>["'])(?P<inner>[^"'\n]+)(?P=q)|(?P<bare>[^\s"'`]+))|(?P<q2>["'])[\w.@-]+:(?P<inner2>[^"'\n]+)(?P=q2))""")
-_CALL = re.compile(rf"""(?<![\w$])(?P<name>[A-Za-z_$][\w$]*)\([ \t]*(?P<q>{_QUOTE})(?P<inner>(?:(?!(?P=q))[^\n])*?)(?P=q)[ \t]*\)""")
 _TAG = re.compile(r"<(?P<name>[A-Za-z][\w.-]*)>(?P<inner>[^<>\n]+)</(?P=name)>")
 _ENTRY = re.compile(rf"""(?m)\bname:[ \t]*["']?(?P<name>[A-Za-z_][\w.-]*)["']?[ \t]*\n{_LINE}[ \t-]*value:[ \t]*(?:(?P<q>["'])(?P<inner>[^"'\n]+)(?P=q)|(?P<bare>[^\s"'`]+))""")
 _ISSUED = re.compile(rf"(?<![A-Za-z0-9_.+/-])(?:{ISSUED})(?![A-Za-z0-9_+/-])|(?<=[\\/]n)(?:{ISSUED})(?![A-Za-z0-9_+/-])")
 _BLOCK = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----.*?-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----", re.DOTALL)
 
+_ASSIGN = ("=", ":", ":=", "=>", "==")
+_INSIDE = re.compile(r"[=:(]")  # what a literal needs to hold an assignment or a call
+_USED = re.compile(r"[ \t]*(?:\.\w|\[)")  # a literal of which something else is made
+_NAME = re.compile(r"[A-Za-z_$][\w$.-]*")
+_PASSWORD = re.compile(r"(?i)pass|pwd")
+_PLAIN_ESCAPE = re.compile(r"\\([\"'`\\/])")
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 _STAND_IN = re.compile(
     r"""(?ix)^(?: \$\{?[a-z_]\w*\}? | [{<\[(] .* | %[a-z_]\w*% | .*(?:\$\{|\{\{|\$\(|%\() .* | [x*.•·_#?-]+ | .*(?:\*{3,}|…|\.{3,}|x{6,}|•{3,}) .*
@@ -66,24 +75,43 @@ _WORDLIKE = re.compile(r"_?[A-Za-z]?[a-z]*(?:_?[A-Z]?[a-z]{2,})*_?\d{0,2}$")  #
 _PLACE = re.compile(r"[\w.-]*/[\w./-]*(?::\d+)*$|[\w.-]+\.(?:py|tsx?|jsx?|go|rs|md|json|ya?ml|sh|sql|toml|txt|java|c|h|css|html|ini|cfg|lock|log)(?::\d+)*$")  # a file, maybe with line and column
 
 
+@lru_cache(100_000)
 def names_credential(name: str) -> bool:
-    """Whether the last word or words of a name mean a credential."""
+    """Whether the last word or words of a name mean a credential; words and numbers that tell versions apart don't matter."""
     words = [w.lower() for w in _WORDS.findall(name)]
-    while words and words[-1].isdigit():
+    while len(words) > 1 and (words[-1].isdigit() or words[-1] in QUALIFIERS):
         words.pop()
-    return bool(words) and (words[-1] in ALONE or tuple(words[-2:]) in PAIRS or "".join(words[-2:]) in ALONE)
+    if not words:
+        return False
+    return words[-1] in ALONE or tuple(words[-2:]) in PAIRS or "".join(words[-2:]) in ALONE or len(words[-1]) > 4 and words[-1].endswith("pass") and words[-1] not in NO_PASS
+
+
+def is_place(value: str) -> bool:
+    """Whether a value is a file or folder, and no key of random letters in which slashes happen to stand."""
+    if not _PLACE.match(value):
+        return False
+    parts = re.split(r"[/=]", value)
+    return "." in value or len(value) < 32 or all(_WORDLIKE.match(p) for p in parts if len(p) >= 6) or not any(c.isdigit() for c in value)
 
 
-def is_value(text: str, quoted: bool) -> bool:
+def is_value(text: str, quoted: bool, name: str = "") -> bool:
     """Whether a literal can be a credential: neither a stand-in nor a plain number or word."""
-    if len(text) < 6 or not text.isprintable() or any(c.isspace() for c in text) or _STAND_IN.match(text):
+    text = _PLAIN_ESCAPE.sub(lambda m: m.group(1), text) if "\\" in text else text
+    if len(text) < 4 or not text.isprintable() or _STAND_IN.match(text):
         return False
     letters = any(c.isalpha() for c in text)
-    if letters and any(c.isdigit() for c in text):
-        return len(text) >= (6 if quoted else 8)
-    mixed = any(c.islower() for c in text) and any(c.isupper() for c in text)
+    digits = any(c.isdigit() for c in text)
     odd = any(c in "!#$%^&*~?" for c in text[:-1])
-    return odd and letters and (mixed and len(text) >= 10 or quoted and len(text) >= 8)
+    mixed = any(c.islower() for c in text) and any(c.isupper() for c in text)
+    if any(c.isspace() for c in text):  # a pass phrase: a few words with digits and signs, and nothing that reads as a sentence
+        return quoted and letters and digits and odd and len(text) >= 10 and len(text.split()) <= 4 and bool(_PASSWORD.search(name))
+    if len(text) < 6:
+        return quoted and letters and digits and bool(_PASSWORD.search(name))
+    if letters and digits:
+        return len(text) >= (6 if quoted else 8)
+    if odd and letters and (mixed and len(text) >= 10 or quoted and len(text) >= 8):
+        return True
+    return quoted and mixed and len(text) >= 16 and text.isalnum() and not _WORDLIKE.match(text)
 
 
 def _user_and_password(value: str) -> bool:
@@ -94,6 +122,79 @@ def _user_and_password(value: str) -> bool:
         return False
 
 
+def assigned(text: str, start: int = 0, end: int | None = None) -> list[tuple[int, int]]:
+    """Literals that are assigned or passed to a credential-named identifier, by the tokens of the text.
+
+    A literal that doesn't count is read again for what it holds itself.
+    """
+    found: list[tuple[int, int]] = []
+    row = list(tokens(text, start, end))
+    row += [Token("op", -1, -1, -1, -1)] * 4  # so that looking ahead never leaves the row
+    said = lambda t: text[t.start : t.end] if t.start >= 0 else "\n"
+    taken: set[int] = set()
+
+    def literals(i: int, name: str, closing: str = "") -> None:
+        """Takes the literal at ``i`` and those joined to it; up to ``closing`` all that are no keys."""
+        depth = 0
+        while i < len(row) - 4:
+            t = row[i]
+            if t.kind == "literal":
+                if said(row[i + 1]) not in (":", "=>") and not _USED.match(text, t.close) and counts(t, name):
+                    found.append((t.start, t.end))
+                    taken.add(i)
+            elif not closing and said(t) != "+":
+                return
+            elif t.kind == "op":
+                depth += (said(t) in "([{") - (said(t) in ")]}")
+                if depth < 0 or closing and said(t) == "\n" and closing == ")":
+                    return
+            i += 1
+
+    def counts(t: Token, name: str) -> bool:
+        value = text[t.start : t.end]
+        return "://" not in value and is_value(value, True, name) and not (said(t) and _WORDLIKE.match(value) and not _PASSWORD.search(name))
+
+    for i, t in enumerate(row[:-4]):
+        key = t.kind == "literal" and t.end - t.start <= 60 and i not in taken and _NAME.fullmatch(text, t.start, t.end)
+        if not key and t.kind != "name" or not names_credential(said(t)):
+            if t.kind == "name" and said(row[i + 1]) == "(" and said(t).rpartition(".")[2].lower() in SIGN_IN:
+                row_of = [j for j in range(i + 2, min(i + 12, len(row) - 4)) if row[j].kind == "literal"]
+                if len(row_of) >= 2 and all(said(row[j]) == "," for j in range(row_of[0] + 1, row_of[1])) and is_value(said(row[row_of[1]]), True, "password"):
+                    found.append((row[row_of[1]].start, row[row_of[1]].end))
+                    taken.add(row_of[1])
+            continue
+        name, j = said(t), i + 1
+        if t.kind == "name" and t.outer and (text[t.outer - 1] in "\\" or text[t.outer - 1].isdigit()) and text[t.outer - 2 : t.outer] not in ("\\n", "\\t"):
+            continue
+        while said(row[j]) == "]" or said(row[j]) in "?!" and t.kind == "name":
+            j += 1
+        op = said(row[j])
+        if op == ":" and row[j + 1].kind == "name" and said(row[j + 2]) == "=":
+            j, op = j + 2, "="  # a type stands between
+        if op == "(" and t.kind == "name":
+            literals(j + 1, name, ")")
+            continue
+        if op not in _ASSIGN and not (op == "," and key):
+            continue
+        value = row[j + 1]
+        if value.kind == "name" and said(value).lower() in ("b", "f", "r", "u", "rb", "br") and row[j + 2].kind == "literal" and row[j + 2].outer == value.close:
+            literals(j + 2, name)
+        elif value.kind == "literal":
+            literals(j + 1, name)
+        elif said(value) == "[" and op != ",":
+            literals(j + 2, name, "]")
+        elif value.start >= 0 and op != "," and said(value) != "\n" and t.kind != "literal" or value.kind == "other" and op != ",":
+            m = _BARE.match(text, value.start)
+            word = m.group() if m else ""
+            if word and not (_WORDLIKE.match(word) or _REFERENCE.match(word) or is_place(word)) and text[m.end() : m.end() + 1] not in tuple("([{"):
+                if "://" not in word and word.lower() not in ("bearer", "basic", "token") and is_value(word, False):
+                    found.append(m.span())
+    for i, t in enumerate(row[:-4]):
+        if t.kind == "literal" and i not in taken and t.end - t.start >= 8 and _INSIDE.search(text, t.start, t.end):
+            found += assigned(text, t.start, t.end)
+    return found
+
+
 def find(text: str) -> list[tuple[int, int]]:
     """Spans of all credentials in ``text``, in order and apart from each other."""
     spans: list[tuple[int, int]] = [m.span() for m in _BLOCK.finditer(text)]
@@ -109,21 +210,7 @@ def find(text: str) -> list[tuple[int, int]]:
                 if is_value(text[a:b], g.startswith("inner")):
                     spans.append((a, b))
 
-    at = 0
-    while m := _NAMED.search(text, at):
-        at = m.end("name")  # what a literal holds is read again, unless the literal itself counts
-        if names_credential(m.group("name")):
-            value = m.group("inner") if m.group("inner") is not None else m.group("bare")
-            bare = m.group("bare") is not None
-            if bare and (_WORDLIKE.match(value) or _REFERENCE.match(value) or _PLACE.match(value) or text[m.end() : m.end() + 1] in ("(", "[", "{")):
-                continue
-            if "://" in value or value.lower() in ("bearer", "basic", "token"):
-                continue
-            add(m, "inner", "bare")
-            at = m.end()
-    for m in _CALL.finditer(text):
-        if names_credential(m.group("name")) and not _WORDLIKE.match(m.group("inner")):
-            add(m, "inner")
+    spans += assigned(text)
     for m in _TAG.finditer(text):
         if names_credential(m.group("name")):
             add(m, "inner")
@@ -135,7 +222,7 @@ def find(text: str) -> list[tuple[int, int]]:
             add(m, "inner", "bare")
     for m in _SPOKEN.finditer(text):
         value = m.group("bare").rstrip(".,;:!?'\"*`")
-        if any(c.isdigit() for c in value) and "=" not in value[:-2] and "://" not in value and not _PLACE.match(value) and not _WORDLIKE.match(value) and not _REFERENCE.match(value):
+        if any(c.isdigit() for c in value) and "=" not in value[:-2] and "://" not in value and not is_place(value) and not _WORDLIKE.match(value) and not _REFERENCE.match(value):
             add(m, "bare", trim=True)
     for m in _SCHEME.finditer(text):
         value = m.group("bare").rstrip(".:")
@@ -162,10 +249,10 @@ def find(text: str) -> list[tuple[int, int]]:
 
 
 def masked(text: str, spans: list[tuple[int, int]]) -> str:
-    """``text`` with the values masked; line breaks and what surrounds the values stay."""
+    """``text`` with the values masked; their escapes, line breaks and what surrounds them stay."""
     out, at = [], 0
     for a, b in spans:
-        out += [text[at:a], re.sub(r"[^\r\n]", "*", text[a:b])]
+        out += [text[at:a], masked_literal(text[a:b])]
         at = b
     return "".join([*out, text[at:]])
 
