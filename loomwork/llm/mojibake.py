@@ -46,6 +46,7 @@ _FLAT = re.compile(r"(?<=[a-zà-ÿ])Ã (?=( ?))")
 _ENTITY = re.compile(r"&(?:[A-Za-z]{2,8}|#\d{2,5}|#x[0-9A-Fa-f]{2,4});")
 _HIGH = re.compile(r"[^\x00-\x7f]+")
 _TOKEN = re.compile(r"[^ \t\n\r\f\v]*[^\x00-\x7f][^ \t\n\r\f\v]*")
+_NARROW = re.compile("[\x80-⹿]")
 _STRAY = re.compile("[\x80-\x84\x86-\x9f]")
 UNITS = "array<struct<cipher:string,unit:string,letter:string,before:string,after:string,n:long>>"
 Unit = tuple[str, str, str, str, str]
@@ -81,7 +82,9 @@ class Reader:
         self.letter = np.array([[c.isalpha() for c in t] for t in self.pages.chars.values()], dtype=bool)
         self.space = index[" "]
         self.strange = lru_cache(200_000)(self._strange)
-        self.line = lru_cache(50_000)(self._line)
+        self.class_link = lru_cache(500_000)(lambda a, b: model.step(a, b, of_class=True))
+        self.readings = lru_cache(4_000)(self._readings)
+        self.gain = lru_cache(100_000)(self._gain)
 
     # ---- runs that are UTF-8 under some page
 
@@ -111,10 +114,12 @@ class Reader:
 
     def _strange(self, token: str) -> bool:
         """Whether a word reads badly where it leaves ASCII, mixes letters and signs beyond it or is all accented; and no page explains it."""
+        if not _NARROW.search(token):  # no page has any of it
+            return False
         worst, last = [], " "
         for c in token + " ":
             if not c.isascii() or not last.isascii():
-                worst.append(self.model.step(last, c, of_class=True))
+                worst.append(self.class_link(letter_class(last), letter_class(c)))
             last = c
         high = [c for c in token if not c.isascii()]
         letters = sum(c.isalpha() and c < "⺀" for c in high)
@@ -123,49 +128,68 @@ class Reader:
         bare = latin >= 3 and latin >= 0.6 * len(token)  # no Latin script does without the plain letters
         return (mixed or bare or sum(worst) < -4.6 * len(worst)) and not all(self.explained(m) for m in _HIGH.findall(token))
 
-    def words(self, line: str) -> list[tuple[int, int]]:
-        """Places of the words beyond ASCII of a line in which any word reads badly; those that a page explains aside."""
-        found = [(m.span(), self.strange(m.group())) for m in _TOKEN.finditer(line)]
-        if not any(s for _, s in found):
+    def words(self, line: str) -> list[tuple[int, int, bool]]:
+        """Places of the words beyond ASCII of a line in which any reads badly, and which do; those that a page explains aside."""
+        found = [(*m.span(), self.strange(m.group())) for m in _TOKEN.finditer(line)]
+        if not any(s for _, _, s in found):
             return []
-        return [(a, b) for (a, b), s in found if s or not all(self.explained(r) for r in _HIGH.findall(line[a:b]))]
-
-    def readings(self, words: tuple[str, ...]) -> dict[str, list[float]]:
-        """What every pair of a page and an older page gains for each word, for pairs that gain anything at all."""
-        text = " ".join(words) + " "
-        starts = np.cumsum([0] + [len(w) + 1 for w in words[:-1]])
-        out: dict[str, list[float]] = {}
-        as_is = np.array([self.model.path(" ", w, " ") for w in words])
-        done: dict[bytes, str] = {}
+        return [(a, b, s) for a, b, s in found if s or not all(self.explained(r) for r in _HIGH.findall(line[a:b]))]
+
+    def _readings(self, word: str) -> tuple[np.ndarray, dict[str, float]]:
+        """What every pair of a page (row) and an older page (column) gains for a word; and so for wide encodings."""
+        out = np.zeros((len(self.names), len(self.names)), dtype=np.float32)
+        wide: dict[str, float] = {}
+        as_is = self.model.path(" ", word, " ")
+        done: dict[bytes, int] = {}
         for d, name in enumerate(self.names):
             table = self.pages.bytes[name]
-            raw = bytes(table.get(c, 0x1A) for c in text)
-            if raw.count(0x1A) > 0.02 * len(text) or raw in done:
+            raw = bytes(table.get(c, 0x1A) for c in word) + b" "
+            if raw.count(0x1A) > 0.02 * len(word):
                 continue
-            done[raw] = name
+            if raw in done:
+                continue
+            done[raw] = d
             at = np.frombuffer(raw, dtype=np.uint8)
             ids, case = self.classes[:, at], self.case[:, at]
             before = np.concatenate([np.full((len(ids), 1), self.space, dtype=np.int32), ids[:, :-1]], axis=1)
-            score = self.links[before, ids]
-            score[:, 1:] -= 1.5 * ((case[:, :-1] == 1) & (case[:, 1:] == 2))
-            score -= SIGN_COST * (self.letter[d, at][None, :] & ~self.letter[:, at])
-            gains = np.maximum(np.add.reduceat(score, starts, axis=1) - as_is, 0)
-            sums = gains.sum(axis=1)
-            sums[d] = 0
-            for e in np.argsort(-sums)[:3]:
-                if sums[e] > LINE_GAIN:
-                    out[f"{self.names[e]}<{name}"] = gains[e].tolist()
-        for raw, name in done.items():
-            if all(b < 128 for b in raw):
-                continue
+            score = self.links[before, ids].sum(axis=1)
+            score -= 1.5 * ((case[:, :-1] == 1) & (case[:, 1:] == 2)).sum(axis=1)
+            score -= SIGN_COST * (self.letter[d, at][None, :] & ~self.letter[:, at]).sum(axis=1)
+            out[d] = np.maximum(score - as_is, 0)
+            out[d, d] = 0
             for e in WIDE:
-                gains = []
-                for w in words:
-                    letters = self.wide_letters(w, e, name)
-                    gains.append(max(0.0, self.worth(letters) - self.model.path(" ", w, " ")) if letters else 0.0)
-                if sum(gains) > LINE_GAIN:
-                    out[f"{e}<{name}"] = gains
-        return out
+                if letters := self.wide_letters(word, e, name):
+                    wide[f"{e}<{name}"] = max(0.0, self.worth(letters) - as_is)
+        return out, wide
+
+    def cipher(self, words: list[str]) -> str:
+        """The pair of pages that reads the strange words of a line best; the free cipher if none does, or none."""
+        read = [self.readings(w) for w in words]
+        whole = sum(r for r, _ in read)
+        wide: Counter = Counter()
+        for _, r in read:
+            wide.update(r)
+        d, e = np.unravel_index(int(whole.argmax()), whole.shape)
+        best, gain = f"{self.names[e]}<{self.names[d]}", float(whole[d, e])
+        if wide and max(wide.values()) > gain:
+            best, gain = max(wide.items(), key=lambda c: c[1])
+        if gain > LINE_GAIN:
+            changed = [w for w in words if self.gain(w, best) > WORD_GAIN]
+            scored = sum(self.gain(w, best) + self.model.path(" ", w, " ") for w in changed)
+            if scored > UNREADABLE * sum(len(w) + 1 for w in changed):
+                return best
+        return FREE if any(self.dense(w) for w in words) else ""
+
+    def _gain(self, word: str, cipher: str) -> float:
+        """What a pair of pages gains for a word."""
+        e, d = cipher.split("<")
+        plain = self.wide_letters(word, e, d) if e in WIDE else self._letters(word, cipher)
+        return self.worth(plain) - self.model.path(" ", word, " ") if plain else 0.0
+
+    @staticmethod
+    def dense(word: str) -> bool:
+        """Whether a word is mostly letters beyond ASCII of small scripts, with nothing lost."""
+        return LOST not in word and sum("\x7f" < c < "⺀" and c.isalpha() for c in word) >= max(3, 0.6 * len(word))
 
     def worth(self, word: str) -> float:
         """How well a word reads whose lost letters cost something each."""
@@ -180,18 +204,6 @@ class Reader:
             return ""
         return plain
 
-    def _line(self, words: tuple[str, ...]) -> tuple[str, tuple[bool, ...]]:
-        """The pair of pages that reads the words of a line best, and which words it gains for; the free cipher if none does."""
-        found = self.readings(words)
-        if found:
-            best = max(found, key=lambda c: sum(found[c]))
-            changed = [(g, w) for g, w in zip(found[best], words) if g > WORD_GAIN]
-            read = sum(g + self.model.path(" ", w, " ") for g, w in changed)
-            if read > UNREADABLE * sum(len(w) + 1 for _, w in changed):
-                return best, tuple(g > WORD_GAIN for g in found[best])
-        dense = tuple(LOST not in w and sum("\x7f" < c < "⺀" and c.isalpha() for c in w) >= max(3, 0.6 * len(w)) for w in words)
-        return (FREE if sum(dense) else ""), dense
-
     def units(self, word: str, cipher: str) -> list[tuple[str, str]]:
         """Units of a word and the letters that the cipher's pages give them; plain characters are no units."""
         if cipher == FREE:
@@ -249,13 +261,13 @@ class Reader:
         at = 0
         for line in text.split("\n"):
             if not line.isascii():
-                places = self.words(line)
-                if places:
-                    cipher, gains = self.line(tuple(line[a:b] for a, b in places))
-                    if cipher:
-                        for (a, b), gain in zip(places, gains):
-                            if gain and not quoted(line, a, b):
-                                yield at + a, at + b, cipher, line[a:b]
+                places = [(a, b, s) for a, b, s in self.words(line) if not quoted(line, a, b)]
+                strange = [line[a:b] for a, b, s in places if s]
+                cipher = self.cipher(strange) if strange else ""
+                for a, b, s in places if cipher else ():
+                    word = line[a:b]
+                    if s and self.dense(word) if cipher == FREE else self.gain(word, cipher) > WORD_GAIN:
+                        yield at + a, at + b, cipher, word
             at += len(line) + 1
 
 
@@ -410,7 +422,7 @@ def restore(text: str, reader: Reader, table: dict[str, dict[str, str]]) -> tupl
     keys = {c: str.maketrans({u: x for u, x in t.items() if len(u) == 1}) for c, t in table.items() if c == FREE or "<" in c and c.split("<")[0] not in WIDE}
     at = 0
     for line in text.split("\n"):
-        places = [] if line.isascii() else [(a, b) for a, b in reader.words(line) if not quoted(line, a, b)]
+        places = [] if line.isascii() else [(a, b) for a, b, _ in reader.words(line) if not quoted(line, a, b)]
         best, whole = [], 0.0
         for cipher in table if places else ():
             if cipher not in keys and "<" not in cipher:
