@@ -1,12 +1,12 @@
 """Sources mixed to target weights of the total tokens, none repeated too often, with the shares reached.
 
-Weights go down a tree from the whole over the sources to the languages within each; a source's weight is its target, a
-language's its tokens. What a leaf can't give, even repeated, its siblings of the same source take on first, then the other
-sources. Each leaf's texts are put in a new seeded order per epoch and its budget is a prefix of that stream of tokens, so
+Weights go down a tree from the whole over the sources to their domains and the languages of each (``levels``); a source
+weighs its target, what is below it a power of its tokens, so that small languages get more than their part. What a node
+can't give, even repeated, its siblings take on first, then those of its ancestors. Each leaf's texts are put in a new seeded order per epoch and its budget is a prefix of that stream of tokens, so
 the last text may be used in part.
 
 Results for odd input: equal texts are one text, used together at most ``max_repeats`` times, and belong to the source
-of the earliest document among those whose source has a target that can be met; texts without tokens and sources without a target are left out; null languages are one language;
+of the earliest document among those whose source has a target that can be met; texts without tokens and sources without a target are left out; null languages and domains are one each;
 null or negative shares and repeats count as 0; without ``total`` the mix is the largest that meets all targets that
 can be met at all.
 """
@@ -20,7 +20,9 @@ from loomwork.functions.prefix import running_total
 from loomwork.functions.shared import written
 from loomwork.llm.tokens import TOKENIZER, with_tokens
 
-LEAVES = 100_000  # leaves of the tree, which is planned on the driver
+LEAVES = 100_000  # leaves of the tree, which is planned on the driver; more are refused
+LEVELS = ("project", "lang")  # the tree below a source: its domains, and the languages of each
+ALPHA = 0.7  # power of the tokens by which nodes below a source weigh
 
 
 def pour(amount: float, weights: dict, limits: dict) -> dict:
@@ -41,8 +43,12 @@ def pour(amount: float, weights: dict, limits: dict) -> dict:
     return out
 
 
-def plan(leaves: dict[tuple[str, str], int], shares: dict[str, float], repeats: dict[str, int], total: int | None = None) -> dict[tuple[str, str], int]:
-    """Tokens for each leaf ``(source, language)`` of given tokens."""
+def plan(leaves: dict[tuple, int], shares: dict[str, float], repeats: dict[str, int], total: int | None = None, alpha: float = 1.0) -> dict[tuple, int]:
+    """Tokens for each leaf, a tuple ``(source, ...)`` of the levels from the top down, of given tokens.
+
+    A source weighs its target, any node below it its tokens to the power ``alpha``: below 1 small siblings get more than
+    their part, until their repeats are used up and the larger ones take on what they lack.
+    """
     limits = {leaf: n * repeats.get(leaf[0], 0) for leaf, n in leaves.items()}
     by_source: dict[str, int] = {}
     for leaf, n in limits.items():
@@ -52,35 +58,58 @@ def plan(leaves: dict[tuple[str, str], int], shares: dict[str, float], repeats:
     if total is None:
         whole = sum(able.values())
         total = int(min((by_source[s] * whole / w for s, w in able.items()), default=0))
-    out: dict[tuple[str, str], int] = {}
-    for source, amount in pour(total, weights, by_source).items():
-        own = {leaf: n for leaf, n in leaves.items() if leaf[0] == source}
-        out |= {leaf: round(x) for leaf, x in pour(amount, own, {leaf: limits[leaf] for leaf in own}).items()}
-    return out
 
+    def share_out(amount: float, under: dict[tuple, int], depth: int) -> dict[tuple, int]:
+        children: dict[str, dict[tuple, int]] = {}
+        for leaf, n in under.items():
+            children.setdefault(leaf[depth] if depth < len(leaf) else "", {})[leaf] = n
+        if depth >= max((len(leaf) for leaf in under), default=0):
+            return {leaf: round(amount) for leaf in under}
+        weigh = weights if depth == 0 else {c: sum(held.values()) ** alpha for c, held in children.items()}
+        bound = {c: sum(limits[leaf] for leaf in held) for c, held in children.items()}
+        out: dict[tuple, int] = {}
+        for c, part in pour(amount, {c: weigh[c] for c in children}, bound).items():
+            out |= share_out(part, children[c], depth + 1)
+        return out
+
+    return share_out(total, leaves, 0)
+
+
+def mix(
+    documents: DataFrame, targets: DataFrame, total: int | float | None = None, seed: int = 0, tokenizer: str = TOKENIZER, levels: tuple[str, ...] = LEVELS, alpha: float = ALPHA
+) -> DataFrame:
+    """What is used: ``doc_id, source``, the other levels, ``epoch, n_tokens, used_tokens``, a row per text and epoch.
 
-def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, seed: int = 0, tokenizer: str = TOKENIZER) -> DataFrame:
-    """What is used: ``doc_id, source, lang, epoch, n_tokens, used_tokens``, a row per text and epoch."""
-    wanted = targets.select("source", "target_share", "max_repeats").dropna(subset=["source"]).dropDuplicates(["source"]).limit(LEAVES).collect()
+    ``levels`` are the columns of the tree below the source, from the top down; those that ``documents`` lacks are left out. ``total`` is a number of tokens, or with a
+    fraction the multiple of all tokens held.
+    """
+    levels = tuple(c for c in levels if c in documents.columns)
+    wanted = targets.select("source", "target_share", "max_repeats").dropna(subset=["source"]).dropDuplicates(["source"]).take(LEAVES + 1)
+    if len(wanted) > LEAVES:
+        raise ValueError(f"more than {LEAVES} sources have a target")
     shares = {r.source: r.target_share for r in wanted}
     repeats = {r.source: max(0, r.max_repeats or 0) for r in wanted}
     usable = documents.sparkSession.createDataFrame([(s,) for s, w in shares.items() if (w or 0) > 0 and repeats[s] > 0], "source string")
     targeted = documents.filter(F.length("text") > 0).join(F.broadcast(usable), "source", "left_semi")  # at most LEAVES sources
-    texts = targeted.groupBy(F.sha2("text", 256).alias("key")).agg(F.min(F.struct("doc_id", "source", "lang")).alias("d"), F.first("text").alias("text"))
-    sized = with_tokens(texts.select("d.*", "text"), "text", tokenizer=tokenizer).drop("text").withColumn("lang", F.coalesce(F.lower(F.trim("lang")), F.lit("und")))
+    texts = targeted.groupBy(F.sha2("text", 256).alias("key")).agg(F.min(F.struct("doc_id", "source", *levels)).alias("d"), F.first("text").alias("text"))
+    sized = with_tokens(texts.select("d.*", "text"), "text", tokenizer=tokenizer).drop("text").withColumns({c: F.coalesce(F.lower(F.trim(c)), F.lit("und")) for c in levels})
     sized = written(sized.filter(F.col("n_tokens") > 0), "sizes")
-    found = sized.groupBy("source", "lang").agg(F.sum("n_tokens").alias("n")).limit(LEAVES + 1).collect()
+    tree = ["source", *levels]
+    found = sized.groupBy(*tree).agg(F.sum("n_tokens").alias("n")).take(LEAVES + 1)
     if len(found) > LEAVES:
-        raise ValueError(f"more than {LEAVES} leaves; group the languages or sources first")
-    budgets = plan({(r.source, r.lang): r.n for r in found if r.source in shares}, shares, repeats, total)
-    sizes = {(r.source, r.lang): r.n for r in found}
-    rows = [(s, la, b // sizes[(s, la)], b % sizes[(s, la)]) for (s, la), b in budgets.items() if b > 0]
-    spark = documents.sparkSession
-    budget = spark.createDataFrame(rows, "source string, lang string, whole long, rest long")
-    held = sized.join(budget, ["source", "lang"])
-    full = held.filter(F.col("whole") > 0).select("doc_id", "source", "lang", F.explode(F.sequence(F.lit(1), F.col("whole").cast("int"))).alias("epoch"), "n_tokens", F.col("n_tokens").alias("used_tokens"))
-    last = running_total(held.filter(F.col("rest") > 0), ["source", "lang"], [F.col("doc_id"), F.lit(seed), F.col("whole")], F.col("n_tokens"), "before")
-    part = last.filter(F.col("before") < F.col("rest")).select("doc_id", "source", "lang", (F.col("whole") + 1).cast("int").alias("epoch"), "n_tokens", F.least("n_tokens", F.col("rest") - F.col("before")).alias("used_tokens"))
+        raise ValueError(f"more than {LEAVES} leaves; group their levels first")
+    sizes = {tuple(r[c] for c in tree): r.n for r in found if r.source in shares}
+    if isinstance(total, float):
+        total = int(total * sum(sizes.values()))
+    budgets = plan(sizes, shares, repeats, total, alpha)
+    rows = [(*leaf, b // sizes[leaf], b % sizes[leaf]) for leaf, b in budgets.items() if b > 0]
+    budget = documents.sparkSession.createDataFrame(rows, ", ".join(f"{c} string" for c in tree) + ", whole long, rest long")
+    held = sized.join(F.broadcast(budget), tree)  # at most LEAVES rows
+    full = held.filter(F.col("whole") > 0).select("doc_id", *tree, F.explode(F.sequence(F.lit(1), F.col("whole").cast("int"))).alias("epoch"), "n_tokens", F.col("n_tokens").alias("used_tokens"))
+    last = running_total(held.filter(F.col("rest") > 0), tree, [F.col("doc_id"), F.lit(seed), F.col("whole")], F.col("n_tokens"), "before")
+    part = last.filter(F.col("before") < F.col("rest")).select(
+        "doc_id", *tree, (F.col("whole") + 1).cast("int").alias("epoch"), "n_tokens", F.least("n_tokens", F.col("rest") - F.col("before")).alias("used_tokens")
+    )
     return full.unionByName(part)
 
 

@@ -31,6 +31,14 @@ def p2_splits(spark: SparkSession, sf: str) -> DataFrame:
     return splits.split_shares(table(spark, sf, "label_rows"), table(spark, sf, "split_targets"))
 
 
+def p2_forest(spark: SparkSession, sf: str) -> DataFrame:
+    return splits.session_forest(table(spark, sf, "label_rows"))
+
+
+def p2_groups(spark: SparkSession, sf: str) -> DataFrame:
+    return splits.session_groups(table(spark, sf, "label_rows"))
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return credentials.credentials(table(spark, sf, "subagent")).select("row_id", "block_no", "secret").distinct()
 
@@ -56,6 +64,18 @@ def p6_shares(spark: SparkSession, sf: str) -> DataFrame:
     return spans.shared_share(table(spark, sf, "subagent"))
 
 
+def p6_classes(spark: SparkSession, sf: str) -> DataFrame:
+    return spans.span_classes(table(spark, sf, "subagent"))
+
+
+def p6_unrepeated(spark: SparkSession, sf: str) -> DataFrame:
+    return spans.unrepeated(table(spark, sf, "subagent"))
+
+
+def p6_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return spans.shared_lines(table(spark, sf, "subagent"))
+
+
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return rebuild.dropped(table(spark, sf, "subagent")).select("session", "side")
 
@@ -76,6 +96,17 @@ def p9_mix(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))
 
 
+def p8_least_cost(spark: SparkSession, sf: str) -> DataFrame:
+    specs = table(spark, sf, "pack_specs")
+    return packing.fill(packing.pack(table(spark, sf, "documents"), specs, nearly_full=0), specs)
+
+
+def p9_short(spark: SparkSession, sf: str) -> DataFrame:
+    """Shares reached where the mix must be as large as all that is held, so that small sources run short."""
+    targets = table(spark, sf, "mix_targets")
+    return mixing.reached(mixing.mix(table(spark, sf, "documents"), targets, total=1.0), targets)
+
+
 def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.reached(p9_mix(spark, sf), table(spark, sf, "mix_targets"))
 
@@ -91,7 +122,7 @@ def p10_restored(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        p1_found, p1_runs, p2_found, p2_splits, p4_found, p4_masked, p5_found, p5_patterns, p6_found, p6_shares, p7_found, p7_conversations, p8_containers, p8_fill, p9_mix, p9_shares, p10_found, p10_restored,
+        p1_found, p1_runs, p2_found, p2_forest, p2_groups, p2_splits, p4_found, p4_masked, p5_found, p5_patterns, p6_found, p6_shares, p6_classes, p6_unrepeated, p6_lines, p7_found, p7_conversations, p8_containers, p8_fill, p8_least_cost, p9_mix, p9_shares, p9_short, p10_found, p10_restored,
     )
 }
 

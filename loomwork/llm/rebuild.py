@@ -111,10 +111,14 @@ def verdicts(sorted_stretches: DataFrame) -> DataFrame:
     """One row per conversation: counts and ``reason``, the first cause to drop it, null where it is sound."""
     key = ["session", "side"]
     sides = F.concat(F.transform("calls", lambda c: F.struct(c.alias("id"), F.lit(1).alias("call"))), F.transform("results", lambda r: F.struct(r.alias("id"), F.lit(0).alias("call"))))
-    ids = sorted_stretches.select(*key, F.inline(sides)).groupBy(*key, "id").agg(F.max("call").alias("called"), F.min("call").alias("open"), F.count("*").alias("n"))
+    first = lambda call: F.min(F.when(F.col("call") == call, F.col("stretch")))
+    ids = sorted_stretches.select(*key, "stretch", F.inline(sides)).groupBy(*key, "id").agg(
+        F.max("call").alias("called"), F.min("call").alias("open"), F.count("*").alias("n"), (first(0) < first(1)).alias("early"),
+    )
     pairs = ids.groupBy(*key).agg(
         F.sum(F.when(F.col("id").isNull() | ((F.col("called") == 1) & (F.col("open") == 1)), F.col("n")).otherwise(0)).alias("unanswered"),
         F.sum(F.when(F.col("id").isNotNull() & (F.col("called") == 0), F.col("n")).otherwise(0)).alias("uncalled"),
+        F.count_if(F.col("id").isNotNull() & F.col("early")).alias("early"),  # results in an earlier stretch than their call: a cycle over a seam
     )
     order = Window.partitionBy(*key).orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
     told = F.when(F.col("last_role").isNotNull(), F.col("ends_asking"))
@@ -124,7 +128,7 @@ def verdicts(sorted_stretches: DataFrame) -> DataFrame:
         (F.sum("doubled") + F.coalesce(F.count_if("seam"), F.lit(0))).alias("unreplied"), F.sum("cyclic").alias("cyclic_rows"),
         F.max_by("last_role", F.when(F.col("last_role").isNotNull(), F.col("stretch"))).alias("last_role"),
     )
-    joined = counts.join(pairs, key, "left").fillna(0, ["unanswered", "uncalled"])
+    joined = counts.join(pairs, key, "left").fillna(0, ["unanswered", "uncalled", "early"]).withColumn("cyclic_rows", F.col("cyclic_rows") + F.col("early")).drop("early")
     reason = (
         F.when(F.col("user_rows") == 0, "no user row")
         .when(F.col("assistant_rows") == 0, "no assistant row")
@@ -132,6 +136,7 @@ def verdicts(sorted_stretches: DataFrame) -> DataFrame:
         .when(F.col("unanswered") > 0, "call without result")
         .when(F.col("uncalled") > 0, "result without call")
         .when(F.col("unreplied") > 0, "user row without reply")
+        .when(F.col("cyclic_rows") > 0, "replies in a circle")
     )
     return joined.withColumn("reason", reason)
 

@@ -158,8 +158,20 @@ def _classes(subagent: DataFrame, span: int, unit: int) -> tuple[DataFrame, Data
     return written(classes, "classes"), members
 
 
+def _crowded(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The classes of units that few and that many classes hold."""
+    sizes = classes.groupBy("digest").agg(F.count("*").alias("k")).filter(F.col("k") > CROWD)
+    return classes.join(sizes, "digest", "left_anti"), classes.join(sizes, "digest", "left_semi")
+
+
+def _windows(classes: DataFrame, span: int) -> DataFrame:
+    """Every span around a unit by its hash, ``class, digest, first, last, left, h``: work that grows with the classes, not with their pairs."""
+    starts = F.transform(F.sequence(F.lit(0), F.length("around") - span), lambda o: F.struct((F.col("before") - o).alias("left"), F.sha1(F.substring("around", o + 1, F.lit(span))).alias("h")))
+    return classes.filter(F.length("around") >= span).select("class", "digest", "first", "last", F.inline(starts))
+
+
 def _met(classes: DataFrame, span: int, unit: int) -> DataFrame:
-    """Links between the classes of a unit that share a span, ``a, b, left, right``; a class with itself where it has several records."""
+    """Links between the few classes of a unit that share a span, ``a, b, left, right``; a class with itself where it has several records."""
     own = classes.filter((F.col("first") != F.col("last")) & (F.length("around") >= span)).select(F.col("class").alias("a"), F.col("class").alias("b"), F.col("before").alias("left"), (F.length("around") - F.col("before")).alias("right"))
     left = classes.select("digest", F.col("class").alias("a"), F.col("before").alias("at_a"), F.col("around").alias("text_a"))
     right = classes.select("digest", F.col("class").alias("b"), F.col("before").alias("at_b"), F.col("around").alias("text_b"))
@@ -168,20 +180,33 @@ def _met(classes: DataFrame, span: int, unit: int) -> DataFrame:
 
 
 def shared_spans(subagent: DataFrame, span: int = SPAN, unit: int = UNIT) -> tuple[DataFrame, DataFrame]:
-    """Links between classes of equal surroundings that share a span, and the places of each class. Copies stay members of one
-    class and are never paired here."""
+    """Sets of classes that share one span, ``group, class``, and the places of each class. Copies stay members of one class and
+    are never paired here, nor are the classes of a set."""
     classes, members = _classes(subagent, span, unit)
-    return _met(classes, span, unit), members
+    few, many = _crowded(classes)
+    links = _met(few, span, unit).select("a", "b").distinct()
+    paired = links.select(F.concat_ws("/", "a", "b").alias("group"), F.explode(F.array_distinct(F.array("a", "b"))).alias("class"))
+    windows = _windows(many, span)
+    key = ["digest", "left", "h"]
+    several = windows.groupBy(*key).agg(F.min("first").alias("least"), F.max("last").alias("most")).filter(F.col("least") != F.col("most"))
+    hashed = windows.join(several.select(*key), key, "left_semi").select(F.sha1(F.concat_ws("/", *key)).alias("group"), "class")
+    return paired.unionByName(hashed), members
+
+
+def span_classes(subagent: DataFrame, span: int = SPAN, unit: int = UNIT) -> DataFrame:
+    """One row per text and class of equal surroundings that others share: ``row_id, block_no, part, place, class, n_groups``."""
+    groups, members = shared_spans(subagent, span, unit)
+    counted = groups.groupBy("class").agg(F.count_distinct("group").alias("n_groups"))
+    return members.join(counted, "class").select("row_id", "block_no", "part", "place", "class", "n_groups")
 
 
 def shared_pairs(subagent: DataFrame, span: int = SPAN, unit: int = UNIT) -> DataFrame:
     """Pairs of records that share a span: ``row_a, row_b`` with the smaller first."""
-    links, members = shared_spans(subagent, span, unit)
+    groups, members = shared_spans(subagent, span, unit)
     rows = members.select("class", "row_id").distinct()
-    a = rows.select(F.col("class").alias("a"), F.col("row_id").alias("x"))
-    b = rows.select(F.col("class").alias("b"), F.col("row_id").alias("y"))
-    met = links.select("a", "b").join(a, "a").join(b, "b").filter(F.col("x") != F.col("y"))
-    return met.select(F.least("x", "y").alias("row_a"), F.greatest("x", "y").alias("row_b")).distinct()
+    held = groups.join(rows, "class").select("group", "row_id").distinct()
+    met = held.select("group", F.col("row_id").alias("row_a")).join(held.select("group", F.col("row_id").alias("row_b")), "group")
+    return met.filter(F.col("row_a") < F.col("row_b")).select("row_a", "row_b").distinct()
 
 
 def _covered(intervals: list) -> int:
@@ -198,17 +223,13 @@ def shared_parts(subagent: DataFrame, span: int = SPAN, unit: int = UNIT) -> Dat
     A keeper is the earliest record that holds the span of that unit; where it is the row itself, the span is kept there.
     """
     classes, members = _classes(subagent, span, unit)
-    sizes = classes.groupBy("digest").agg(F.count("*").alias("k"))
-    crowded = classes.join(sizes.filter(F.col("k") > CROWD), "digest", "left_semi")
-    few = classes.join(sizes.filter(F.col("k") <= CROWD), "digest", "left_semi")
+    few, many = _crowded(classes)
     links = _met(few, span, unit)
     sides = links.select(F.col("a").alias("class"), F.col("b").alias("other"), "left", "right").unionByName(links.filter(F.col("a") != F.col("b")).select(F.col("b").alias("class"), F.col("a").alias("other"), "left", "right"))
     ranked = sides.join(classes.select(F.col("class").alias("other"), "first", "last"), "other")
     # one row per class and extent: its earliest holder, and what shows that another record holds it too
     met = ranked.groupBy("class", "left", "right").agg(F.min("first").alias("least"), F.max("last").alias("most"))
-    # a unit of many classes: each span around it is hashed, so that the work grows with the classes and not with their pairs
-    starts = F.transform(F.sequence(F.lit(0), F.length("around") - span), lambda o: F.struct((F.col("before") - o).alias("left"), F.sha1(F.substring("around", o + 1, F.lit(span))).alias("h")))
-    windows = crowded.filter(F.length("around") >= span).select("class", "digest", "first", "last", F.inline(starts))
+    windows = _windows(many, span)
     shared = windows.groupBy("digest", "left", "h").agg(F.min("first").alias("least"), F.max("last").alias("most")).filter(F.col("least") != F.col("most"))
     hashed = windows.select("class", "digest", "left", "h").join(shared, ["digest", "left", "h"]).select("class", "left", (F.lit(span) - F.col("left")).alias("right"), "least", "most")
     reach = met.unionByName(hashed)
@@ -235,3 +256,52 @@ def shared_share(subagent: DataFrame, span: int = SPAN, unit: int = UNIT) -> Dat
     rows = subagent.select("row_id").filter(F.col("row_id").isNotNull()).distinct()
     joined = rows.join(whole, "row_id", "left").join(sums, "row_id", "left").fillna(0, ["n_chars", "shared_chars", "repeated_chars"])
     return joined.withColumn("share", F.when(F.col("n_chars") > 0, F.col("shared_chars") / F.col("n_chars")).otherwise(0.0))
+
+
+def unrepeated(subagent: DataFrame, span: int = SPAN, unit: int = UNIT) -> DataFrame:
+    """Texts that repeat spans of earlier records, without them: ``row_id, block_no, part, text, removed``.
+
+    The earliest record keeps a span. ``removed`` holds what was taken out, ``start, end, keeper``, joined where it overlaps
+    and with the offsets of the original text, so that the text can be put together again.
+    """
+    key = ["row_id", "block_no", "part"]
+
+    def take_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for row, block, part, value, spans in batch.itertuples(index=False, name=None):
+                removed: list[dict] = []
+                for s in spans:
+                    if s["keeper"] == row:
+                        continue
+                    if removed and s["start"] < removed[-1]["end"]:
+                        removed[-1]["end"] = max(removed[-1]["end"], s["end"])
+                        removed[-1]["keeper"] = min(removed[-1]["keeper"], s["keeper"])
+                    else:
+                        removed.append({"start": s["start"], "end": s["end"], "keeper": s["keeper"]})
+                if removed:
+                    cuts = [0, *(p for r in removed for p in (r["start"], r["end"])), len(value)]
+                    out.append((row, block, part, "".join(value[a:b] for a, b in zip(cuts[::2], cuts[1::2])), removed))
+            yield pd.DataFrame(out, columns=[*key, "text", "removed"])
+
+    held = shared_parts(subagent, span, unit)
+    whole = _long_texts(subagent, span).join(held, key).dropDuplicates(key).select(*key, "value", "spans")
+    return whole.mapInPandas(take_out, "row_id long, block_no int, part string, text string, removed array<struct<start:int,end:int,keeper:long>>")
+
+
+def shared_lines(subagent: DataFrame, least: int = SPAN) -> DataFrame:
+    """Lines and paragraphs of several records, blanks and case apart: ``digest, keeper, row_id, block_no, part, start, length``.
+
+    The plainer units: what they find is a part of what ``shared_pairs`` finds, as spans may begin and end within a line.
+    """
+    key = ["row_id", "block_no", "part"]
+    plain = lambda c: F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
+
+    def units(pattern: str) -> DataFrame:
+        pieces = F.split("value", pattern)
+        starts = F.aggregate(pieces, F.array(F.lit(0)), lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(p) + len(pattern.encode().decode("unicode_escape")))))
+        return _long_texts(subagent, least).select(*key, F.inline(F.arrays_zip(pieces.alias("piece"), F.slice(starts, 1, F.size(pieces)).alias("start"))))
+
+    both = units("\n").unionByName(units("\n\n")).filter(F.length("piece") >= least).select(*key, "start", F.length("piece").alias("length"), F.sha1(plain(F.col("piece"))).alias("digest")).distinct()
+    several = both.groupBy("digest").agg(F.min("row_id").alias("keeper"), F.max("row_id").alias("last")).filter(F.col("keeper") != F.col("last")).drop("last")
+    return both.join(several, "digest").select("digest", "keeper", *key, "start", "length")

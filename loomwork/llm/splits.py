@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from loomwork.functions.prefix import running_total
 from loomwork.functions.shared import forget, written
 
+SPLITS = 1000  # splits at once; more are refused
 FEW = 64  # roots of a band that are dealt one by one
 GOLDEN = (math.sqrt(5) - 1) / 2
 
@@ -88,6 +89,18 @@ def forest(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return (edges.select("a", "b").limit(0) if picked is None else picked), named
 
 
+def session_forest(label_rows: DataFrame) -> DataFrame:
+    """The spanning forest that was built and stays in the shared folder: its edges ``root, a, b``, one fewer than nodes in each tree."""
+    picked, named = forest(written(links(label_rows), "links"))
+    return picked.distinct().join(named.select(F.col("node").alias("a"), "root"), "a").select("root", "a", "b")
+
+
+def session_groups(label_rows: DataFrame) -> DataFrame:
+    """One row per linked session with its group and the group's size: ``session, root, n_sessions``."""
+    _, named = forest(written(links(label_rows), "links"))
+    return named.join(named.groupBy("root").agg(F.count("*").alias("n_sessions")), "root").select(F.col("node").alias("session"), "root", "n_sessions")
+
+
 def linked_sessions(label_rows: DataFrame) -> DataFrame:
     """Pairs of sessions that must stay together: ``session_a, session_b`` with the smaller first."""
     _, named = forest(written(links(label_rows), "links"))
@@ -150,7 +163,9 @@ def deal(sizes: DataFrame, targets: list[tuple[str, float]], seed: int = 0) -> D
 
 def split_rows(label_rows: DataFrame, split_targets: DataFrame, seed: int = 0) -> DataFrame:
     """``label_rows`` with ``group`` and ``split_name``; ``split_targets`` has a row per split, a handful."""
-    targets = [(r.split_name, r.target_share) for r in split_targets.select("split_name", "target_share").dropna(subset=["split_name"]).dropDuplicates(["split_name"]).orderBy("split_name").limit(1000).collect()]
+    targets = [(r.split_name, r.target_share) for r in split_targets.select("split_name", "target_share").dropna(subset=["split_name"]).dropDuplicates(["split_name"]).orderBy("split_name").take(SPLITS + 1)]
+    if len(targets) > SPLITS:
+        raise ValueError(f"more than {SPLITS} splits")
     if not targets:
         raise ValueError("there are no splits to assign to")
     grouped = written(_groups(label_rows), "groups")

@@ -181,3 +181,14 @@ def test_nulls_everywhere(transcript):
     table = transcript(rows)
     assert [(r.tool, r.n_events, r.seconds) for r in runs.repeated_runs(table, TOOLS).collect()] == [("Bash", 2, 0.0)]
     assert [(r.session, r.reason) for r in rebuild.verdicts(rebuild.stretches(table)).collect()] == [("s", "no last reply")]  # one line without number: the row with a time first
+
+
+def test_replies_in_a_circle_break_a_conversation(transcript, monkeypatch):
+    from loomwork.llm import conversation
+
+    rows = [(1, "s", -1, "user", None, None, [said("hi")]), (6, "s", 0, "assistant", None, None, [said("so")]), (2, "s", 1, "user", None, None, [result("a")]), (3, "s", 2, "assistant", None, None, [use("a", "Read")]), (4, "s", 3, "user", None, None, [result("b")]), (5, "s", 4, "assistant", None, None, [use("b", "Read"), said("end")])]
+    sound = [(i, "t", n, k, None, None, b) for i, n, k, b in ((11, 0, "user", [said("hi")]), (12, 1, "assistant", [use("c", "Read")]), (13, 2, "user", [result("c")]), (14, 3, "assistant", [said("end")]))]
+    for stretch in (2048, 2, 1):  # the edge from a call to its result also leads over the seams of stretches
+        monkeypatch.setattr(conversation, "STRETCH", stretch)
+        got = {r.session: (r.reason, r.cyclic_rows > 0) for r in rebuild.verdicts(rebuild.stretches(transcript(rows + sound))).collect()}
+        assert got == {"s": ("replies in a circle", True), "t": (None, False)}

@@ -110,6 +110,42 @@ def test_pouring():
     assert sum(mixing.plan({("a", "en"): 10, ("b", "en"): 100}, {"a": 0.5, "b": 0.5}, {"a": 1, "b": 1}, 60).values()) == 60
 
 
+def test_short_nodes_are_made_up_for_by_siblings_before_ancestors():
+    leaves = {("a", "x", "en"): 100, ("a", "x", "fr"): 4, ("a", "y", "en"): 100, ("b", "z", "en"): 1000}
+    plan = mixing.plan(leaves, {"a": 0.5, "b": 0.5}, {"a": 1, "b": 1}, 200, alpha=0.0)
+    # a gets 100, its domains 50 each; fr can't give 25, so its sibling en of the same domain gives 46
+    assert plan == {("a", "x", "en"): 46, ("a", "x", "fr"): 4, ("a", "y", "en"): 50, ("b", "z", "en"): 100}
+    plan = mixing.plan(leaves, {"a": 0.5, "b": 0.5}, {"a": 1, "b": 1}, 340, alpha=0.0)
+    # a gets 170, its domains 85 each; then a domain runs short as a whole, and the other takes on the rest
+    assert plan == {("a", "x", "en"): 81, ("a", "x", "fr"): 4, ("a", "y", "en"): 85, ("b", "z", "en"): 170}
+    plan = mixing.plan(leaves, {"a": 0.5, "b": 0.5}, {"a": 1, "b": 1}, 600, alpha=0.0)
+    assert plan == {("a", "x", "en"): 100, ("a", "x", "fr"): 4, ("a", "y", "en"): 100, ("b", "z", "en"): 396}
+    assert mixing.plan(leaves, {"a": 0.5, "b": 0.5}, {"a": 3, "b": 1}, 600, alpha=0.0)[("a", "x", "fr")] == 12
+
+
+def test_a_mix_larger_than_its_small_sources(spark):
+    rows = [(i, "a" if i < 3 else "b", "p", "en", f"text number {i} of many") for i in range(40)]
+    texts = spark.createDataFrame(rows, "doc_id long, source string, project string, lang string, text string")
+    targets = spark.createDataFrame([("a", 0.5, 2), ("b", 0.5, 2)], "source string, target_share double, max_repeats int")
+    got = {r.source: r for r in mixing.reached(mixing.mix(texts, targets, total=1.0), targets).collect()}
+    assert got["a"].max_uses == 2 and got["a"].share < 0.2 and abs(got["a"].share + got["b"].share - 1) < 1e-9
+    held = mixing.mix(texts, targets).agg({"n_tokens": "sum"}).collect()[0][0]
+    assert held < sum(r.used_tokens for r in got.values())
+    with pytest.raises(ValueError):
+        packing.pack(texts, spark.range(2000).selectExpr("id as spec_id", "id + 5 as capacity_tokens"))
+
+
+def test_least_cost_deals_evenly():
+    rng = np.random.default_rng(1)
+    sizes = rng.integers(8, 400, 3000)
+    for capacity, nearly_full in ((2048, 0), (2048, packing.NEARLY_FULL)):
+        to = packing.assign(sizes, capacity, nearly_full)
+        costs = np.bincount(to, sizes + sizes**2 / capacity)
+        assert np.bincount(to, sizes).max() <= capacity
+        if not nearly_full:
+            assert costs.std() / costs.mean() < 0.02
+
+
 def test_mixing(documents, spark):
     targets = spark.createDataFrame([("a", 0.5, 3), ("b", 0.3, 2), ("c", 0.2, 1), ("gone", 0.0, 2), (None, 0.1, 1)], "source string, target_share double, max_repeats int")
     mixed = mixing.mix(documents, targets)

@@ -108,6 +108,37 @@ def test_shared_spans_match_brute_force(transcript, monkeypatch):
     for crowd in (64, 1):
         monkeypatch.setattr(spans, "CROWD", crowd)
         check_shares(table)
+        assert {(r.row_a, r.row_b) for r in spans.shared_pairs(table).collect()} == expected
+
+
+def test_repeats_are_taken_out_with_their_offsets(transcript):
+    rng = random.Random(8)
+    a, b = words(rng, 300), words(rng, 260)
+    texts = {1: "x" + a + "y", 2: words(rng, 40) + a + "tail" + b, 3: b + "end", 4: words(rng, 400)}
+    table = transcript([(i, "s", i, "user", None, None, [said(t)]) for i, t in texts.items()])
+    got = {r.row_id: r for r in spans.unrepeated(table).collect()}
+    assert set(got) == {2, 3}
+    for i, r in got.items():
+        whole, at = "", 0
+        for cut in r.removed:
+            assert cut.keeper < i and texts[i][cut.start : cut.end] in texts[cut.keeper]
+            kept = r.text[at : at + cut.start - len(whole)]
+            whole, at = whole + kept + texts[i][cut.start : cut.end], at + len(kept)
+        assert whole + r.text[at:] == texts[i]
+    assert a not in got[2].text and b in got[2].text and got[3].text.endswith("end") and len(got[3].text) < 10
+    assert spans.unrepeated(transcript([])).count() == 0
+
+
+def test_shared_lines_and_classes(transcript):
+    long = "A line  of more than ten letters"
+    table = transcript([(1, "s", 1, "user", None, None, [said("x\n" + long + "\ny")]), (2, "s", 2, "user", None, None, [said(long.lower().replace("  ", " "))]), (3, "s", 3, "user", None, None, [said("z\n\nother words here, not shared")])])
+    got = sorted((r.row_id, r.start, r.keeper) for r in spans.shared_lines(table, 12).collect())
+    assert got == [(1, 2, 1), (2, 0, 1)]
+    rng = random.Random(4)
+    passage = words(rng, 250)
+    rows = transcript([(i, "s", i, "user", None, None, [said(passage)]) for i in range(5)] + [(9, "s", 9, "user", None, None, [said("a" + passage[:230])])])
+    held = spans.span_classes(rows).collect()
+    assert {r.row_id for r in held} == {0, 1, 2, 3, 4, 9} and len(held) <= 6 * 3
 
 
 def check_shares(table):
