@@ -445,3 +445,11 @@ def test_nested_records(spark):
     assert all(r.parent_hash in held for r in parents)
     assert {r.raw_id: r.n_blocks for r in nested.records(raw).collect()}[0] == 6
     assert nested.blocks(raw.limit(0)).count() == 0
+    assert bridge.filter("body is not null").count() < bridge.count()  # equal objects are stored once a task
+
+
+def test_nested_records_of_any_depth(spark):
+    deep = 7000
+    line = '{"message":{"content":' + '[{"type":"x","content":' * deep + "[]" + "}]" * deep + "}}"
+    raw = spark.createDataFrame([(1, line)], "raw_id long, line string")
+    assert nested.blocks(raw).count() == deep
