@@ -127,3 +127,32 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {}
+
+_HELD = r"""WITH RECURSIVE h AS (SELECT DISTINCT regexp_replace(regexp_extract(lower(session), '(^|[^0-9a-f])[0-9a-f]{8}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{12}([^0-9a-f]|$)'), '[^0-9a-f]', '', 'g') AS s,
+  regexp_extract(tool_use_id, '(^|[^0-9A-Za-z])toolu_([0-9A-Za-z]{16,})([^0-9A-Za-z_]|$)', 2) AS id FROM label_rows),
+g AS (SELECT substr(s, 1, 8) || '-' || substr(s, 9, 4) || '-' || substr(s, 13, 4) || '-' || substr(s, 17, 4) || '-' || substr(s, 21) AS s, id FROM h WHERE s <> '' AND id <> '' AND len(list_distinct(string_split(id, ''))) >= 6),
+e AS (SELECT DISTINCT a.s AS x, b.s AS y FROM g AS a JOIN g AS b USING (id) WHERE a.s <> b.s),
+reach AS (SELECT x, y FROM e UNION SELECT reach.x, e.y FROM reach JOIN e ON reach.y = e.x)"""
+
+SQL["p2_found"] = _HELD + " SELECT DISTINCT x AS session_a, y AS session_b FROM reach WHERE x < y"
+
+SQL["p2_groups"] = _HELD + ", r AS (SELECT x AS session, min(y) AS root FROM reach GROUP BY x) SELECT session, root, count(*) OVER (PARTITION BY root) AS n_sessions FROM r"
+
+SQL["p6_found"] = """WITH t AS (SELECT row_id, unnest(list_concat([b.text, b.content], list_transform(coalesce(b.items, []), lambda i: i.text))) AS v FROM (SELECT row_id, unnest(message.content) AS b FROM (SELECT DISTINCT ON (row_id) row_id, message FROM subagent WHERE row_id IS NOT NULL))),
+w AS (SELECT DISTINCT row_id, hash(substring(v, i, 200)) AS h FROM (SELECT row_id, v, unnest(range(1, length(v) - 198)) AS i FROM t WHERE length(v) >= 200)),
+k AS (SELECT h FROM w GROUP BY h HAVING count(*) > 1), s AS (SELECT w.* FROM w SEMI JOIN k USING (h))
+SELECT DISTINCT a.row_id AS row_a, b.row_id AS row_b FROM s AS a JOIN s AS b ON a.h = b.h AND a.row_id < b.row_id"""
+
+_TURNS = r"""WITH d AS (SELECT DISTINCT ON (row_id) row_id, session, CASE WHEN issidechain THEN 'side' ELSE 'main' END AS side, line_no, lower(regexp_replace(type, '\s+', '', 'g')) AS role, coalesce(message.content, []) AS c FROM subagent),
+a AS (SELECT * FROM d WHERE role IN ('user', 'assistant') AND session IS NOT NULL),
+k AS (SELECT *, list_transform(list_filter(c, lambda b: lower(trim(b.type)) = 'tool_use'), lambda b: b.id) AS calls, list_transform(list_filter(c, lambda b: lower(trim(b.type)) = 'tool_result'), lambda b: b.tool_use_id) AS results FROM a
+  WHERE len(list_filter(c, lambda b: lower(trim(b.type)) IN ('tool_use', 'tool_result') OR (lower(trim(b.type)) = 'text' AND coalesce(regexp_matches(b.text, '[^\s\p{Z}\p{Cf}]'), false)) OR (lower(trim(b.type)) = 'thinking' AND coalesce(regexp_matches(b.thinking, '[^\s\p{Z}\p{Cf}]'), false)))) > 0),
+o AS (SELECT *, lead(role) OVER w AS next_role, row_number() OVER w AS n FROM k WINDOW w AS (PARTITION BY session, side ORDER BY line_no, row_id)),
+g AS (SELECT session, side, count(*) FILTER (role = 'user') AS users, count(*) FILTER (role = 'assistant') AS assistants, max_by(role, n) AS last_role, bool_or(role = 'user' AND len(results) = 0 AND coalesce(next_role, '') = 'user') AS doubled FROM o GROUP BY session, side),
+u AS (SELECT DISTINCT session, side, unnest(calls) AS id FROM k), v AS (SELECT DISTINCT session, side, unnest(results) AS id FROM k),
+x AS (SELECT session, side FROM u WHERE id IS NULL OR NOT EXISTS (FROM v WHERE v.session = u.session AND v.side = u.side AND v.id = u.id) UNION SELECT session, side FROM v WHERE id IS NULL OR NOT EXISTS (FROM u WHERE u.session = v.session AND u.side = v.side AND u.id = v.id)),
+bad AS (SELECT DISTINCT a.session, a.side FROM a LEFT JOIN g USING (session, side) WHERE g.users IS NULL OR g.users = 0 OR g.assistants = 0 OR g.last_role <> 'assistant' OR g.doubled OR EXISTS (FROM x WHERE x.session = a.session AND x.side = a.side))"""
+
+SQL["p7_found"] = _TURNS + " SELECT session, side FROM bad"
+
+SQL["p7_conversations"] = _TURNS + " SELECT session, side, n - 1 AS position, row_id, role FROM o WHERE NOT EXISTS (FROM bad WHERE bad.session = o.session AND bad.side = o.side)"
