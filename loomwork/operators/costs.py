@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwork.functions.prefix import ordered_totals
+
 
 def repeated_shapes(calls: DataFrame, shape: str, seconds: str, session: str, least: int = 2, sessions: int = 2, tail: float = 120.0) -> DataFrame:
     """Shapes that recur over sessions with their time, each at most ``tail``: ``shape, n, sessions, seconds``."""
@@ -27,7 +29,9 @@ def short_target(path: Column) -> Column:
 
 
 def rereads(reads: DataFrame, target: str, chars: str) -> DataFrame:
-    """Targets with what was read and what of it was read again: ``target, reads, chars, repeated_chars``."""
+    """Targets by the last two parts of their path, with what was read and what of it was read again: ``target, reads, chars,
+    repeated_chars``."""
+    reads = reads.withColumn(target, short_target(F.col(target)))
     return reads.groupBy(target).agg(F.count("*").alias("reads"), F.sum(chars).alias("chars"), (F.sum(chars) - F.max(chars)).alias("repeated_chars"))
 
 
@@ -47,6 +51,14 @@ def cache_segments(usage: DataFrame, key: str, order: list[str]) -> DataFrame:
     return once.groupBy(key, "segment").agg(F.count("*").alias("turns"), F.min_by("cache_created", "__o").alias("first_created"), F.max_by("cache_read", "__o").alias("last_read"))
 
 
+def cache_events(segments: DataFrame, key: str) -> DataFrame:
+    """Compactions between segments: ``key, segment, freed, recached, turns``; freed is what the cache held before less what it
+    holds after, a first segment is none."""
+    before = F.lag("last_read").over(Window.partitionBy(key).orderBy("segment"))
+    found = segments.withColumn("__b", before).filter(F.col("__b").isNotNull())
+    return found.select(key, "segment", (F.col("__b") - F.col("last_read")).alias("freed"), F.col("first_created").alias("recached"), "turns")
+
+
 def breakeven_turns(freed: Column, recached: Column, read: float = 0.10, write: float = 1.25) -> Column:
     """Turns after which what a compaction frees pays for writing the cache anew."""
     return F.when(freed > 0, recached * (write - read) / (freed * read))
@@ -56,8 +68,8 @@ def halves(sessions: DataFrame, at: str, key: str) -> DataFrame:
     """Sessions by their first time: ``key, early``; the earlier half, rounded up, is early."""
     first = sessions.groupBy(key).agg(F.min(at).alias("first"))
     n = first.agg(F.count("*").alias("n"))
-    place = F.row_number().over(Window.orderBy("first", key))  # one row per session
-    return first.withColumn("p", place).join(F.broadcast(n)).select(key, (F.col("p") <= F.ceil(F.col("n") / 2)).alias("early"))
+    placed = ordered_totals(first, ["first", key], {"p": F.lit(1)})
+    return placed.join(F.broadcast(n)).select(key, (F.col("p") + 1 <= F.ceil(F.col("n") / 2)).alias("early"))
 
 
 def payoff(signals: DataFrame, early: DataFrame, key: str, shape: list[str], least: int = 3, sessions: int = 2) -> DataFrame:

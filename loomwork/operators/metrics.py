@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwork.functions.prefix import ordered_totals
+
 
 def _by_score(df: DataFrame, score: str, label: str, chars: Column) -> DataFrame:
-    """Per distinct score: n, positives, chars and what lies below; windows run over distinct scores only."""
+    """Per distinct score: n, positives, chars and what lies below, summed by ranges of the scores."""
     grouped = df.groupBy(F.col(score).alias("s")).agg(F.count("*").alias("n"), F.count_if(label).alias("pos"), F.sum(chars).alias("c"))
-    below = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    return grouped.withColumns({f"{x}_below": F.coalesce(F.sum(x).over(below), F.lit(0)) for x in ("n", "pos", "c")})
+    return ordered_totals(grouped, ["s"], {f"{x}_below": F.col(x) for x in ("n", "pos", "c")})
 
 
 def auc(df: DataFrame, score: str, label: str) -> DataFrame:
@@ -62,9 +63,9 @@ def pearson(df: DataFrame, a: str, b: str) -> DataFrame:
 def quantiles(df: DataFrame, x: str, p: float = 0.5) -> DataFrame:
     """Three definitions: the upper one at n·p, the mean of the middle ones, the lower one at (n-1)·p."""
     n = df.filter(F.col(x).isNotNull()).groupBy(F.col(x).alias("v")).agg(F.count("*").alias("k"))
-    upto = n.withColumn("hi", F.sum("k").over(Window.orderBy("v")))
+    upto = ordered_totals(n, ["v"], {"lo": F.col("k")}).withColumn("hi", F.col("lo") + F.col("k"))
     total = upto.agg(F.max("hi").alias("n"))
-    placed = upto.join(F.broadcast(total)).withColumn("lo", F.col("hi") - F.col("k"))
+    placed = upto.join(F.broadcast(total))
     at = lambda i: F.max(F.when((i >= F.col("lo")) & (i < F.col("hi")), F.col("v")))
     last = F.col("n") - 1
     up, low = F.least(last, F.floor(F.col("n") * p)), F.floor(last * p)

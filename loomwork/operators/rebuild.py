@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomwork.functions.shared import written
 from loomwork.functions.text import SLACK, tokens_of_chars, truncated_text, units
 from loomwork.operators import pairing, scoring
 from loomwork.operators.decide import decide, session_stats
@@ -15,11 +16,15 @@ from loomwork.plans.options import Options
 def apply_decisions(messages: DataFrame, decisions: DataFrame, options: Options = Options()) -> DataFrame:
     """Messages without dropped calls and with shortened outputs, in order, with ``touched``.
 
-    Actions come as one map per session, so each message is rebuilt by itself. A message that loses all it had is dropped; one
-    that was blank before stays.
+    Actions are joined to the ids that each message holds and come back as a map per message, so the work grows with the
+    blocks of a session and not with its messages times its calls. A message that loses all it had is dropped; one that was
+    blank before stays.
     """
-    acted = decisions.filter(F.col("action") != "keep").groupBy("session").agg(F.map_from_entries(F.collect_list(F.struct("tool_use_id", "action"))).alias("actions"))
-    joined = messages.join(acted, "session", "left").withColumn("actions", F.coalesce("actions", F.create_map().cast("map<string,string>")))
+    held = lambda blocks: F.transform(blocks, lambda b: b["tool_use_id"])
+    ids = messages.select("session", "msg_idx", F.explode(F.array_distinct(F.concat(held("tool_uses"), held("tool_results")))).alias("tool_use_id"))
+    acted = decisions.filter(F.col("action") != "keep").groupBy("session", "tool_use_id").agg(F.min("action").alias("action"))
+    by_message = ids.join(acted, ["session", "tool_use_id"]).groupBy("session", "msg_idx").agg(F.map_from_entries(F.collect_list(F.struct("tool_use_id", "action"))).alias("actions"))
+    joined = messages.join(by_message, ["session", "msg_idx"], "left").withColumn("actions", F.coalesce("actions", F.create_map().cast("map<string,string>")))
     action = lambda x: F.try_element_at(F.col("actions"), F.coalesce(x["tool_use_id"], F.lit("")))
     over = lambda r: (F.lit(options.max_kept_chars) > 0) & (units(r["text"]) > options.max_kept_chars + SLACK)
     result = lambda r: F.when(action(r) == "drop_result", truncated_text(r["text"], r["is_error"], options.head_chars)).when(action(r).isNull() & over(r), truncated_text(r["text"], r["is_error"], options.max_kept_chars)).otherwise(r["text"])
@@ -32,10 +37,12 @@ def apply_decisions(messages: DataFrame, decisions: DataFrame, options: Options
 
 
 def compact(messages: DataFrame, scorer: scoring.Scorer | None = None, options: Options = Options()) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rebuilt messages, decisions, and statistics per session."""
+    """Rebuilt messages, decisions, and statistics per session. Messages and decisions are written once to the shared folder."""
+    messages = written(messages, "messages")
     calls = pairing.paired_calls(messages, options.preserve_recent).withColumn("target", target()).withColumn("input_chars", units(F.col("input_json")))
     scored = (scorer or scoring.built_in())(with_facts(calls))
-    decisions = decide(scored, options)
+    decided = decide(scored, options)
+    decisions = written(decided.drop("result_text", "input_json"), "decisions")
     rebuilt = apply_decisions(messages, decisions, options)
     size = lambda df, name: df.groupBy("session").agg(F.count("*").alias(f"messages_{name}"), F.sum(pairing.message_chars()).alias(f"chars_{name}"))
     stats = size(messages, "before").join(size(rebuilt, "after"), "session", "left").join(session_stats(decisions), "session", "left").fillna(0)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwork.functions.prefix import ordered_totals
 from loomwork.functions.signatures import estimated_saving, redact, slug
 
 MAX_ROWS, MAX_SESSIONS, MAX_SAMPLES, SAMPLE_CHARS = 2000, 50, 3, 200
@@ -30,11 +31,11 @@ def counted(signals: DataFrame) -> DataFrame:
     return sums.join(sessions, key, "left").join(samples, key, "left").withColumns({"sessions": F.coalesce("sessions", empty), "samples": F.coalesce("samples", empty)})
 
 
-def fair_prune(rows: DataFrame, most: int = MAX_ROWS) -> DataFrame:
+def fair_prune(rows: DataFrame, most: int = MAX_ROWS, arrived: str = "last_seen") -> DataFrame:
     """At most ``most`` counters, taken in turn from every kind, the most frequent and latest of each first; kinds take turns by
-    their first appearance."""
+    their first appearance, the least ``arrived``: give a column of first arrivals where the rows have one."""
     place = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("n"), F.desc("last_seen"), "sig"))
-    begun = rows.groupBy("kind").agg(F.min("last_seen").alias("__first"))
+    begun = rows.groupBy("kind").agg(F.min(arrived).alias("__first"))
     return rows.withColumn("__p", place).filter(F.col("__p") <= most).join(F.broadcast(begun), "kind").orderBy("__p", "__first", "kind").limit(most).drop("__p", "__first")
 
 
@@ -50,8 +51,12 @@ def error_fixes(commands: DataFrame, order: list[str]) -> DataFrame:
 
 
 def proposals(counters: DataFrame, least: int = 3, sessions: int = 2, totals: bool = False) -> DataFrame:
-    """Counters repeated often enough, by what they would save: ``kind, sig, slug, n, n_sessions, saved``. Saving is reckoned from
-    the mean of an occurrence, or, as ``totals``, from the sums."""
+    """Counters repeated often enough, ranked by what they would save, then by how often, then by name: ``rank, kind, sig, slug, n,
+    n_sessions, saved``. Saving is reckoned from the mean of an occurrence, or, as ``totals``, from the sums."""
     held = counters.withColumn("n_sessions", F.size("sessions")).filter((F.col("n") >= least) & (F.col("n_sessions") >= sessions))
     one = F.lit(1) if totals else F.col("n")
-    return held.select("kind", "sig", slug(F.col("sig")).alias("slug"), "n", "n_sessions", estimated_saving(F.col("n"), F.col("calls") / one, F.col("chars") / one).alias("saved"))
+    saved = estimated_saving(F.col("n"), F.col("calls") / one, F.col("chars") / one)
+    found = held.select("kind", "sig", slug(F.col("sig")).alias("slug"), "n", "n_sessions", saved.alias("saved"))
+    keyed = found.withColumns({"__saved": -F.round("saved", 6), "__n": -F.col("n")})
+    ranked = ordered_totals(keyed, ["__saved", "__n", "kind", "sig"], {"before": F.lit(1)})
+    return ranked.select((F.col("before") + 1).alias("rank"), *found.columns).orderBy("rank")

@@ -43,12 +43,15 @@ def cap_sweep(calls: DataFrame, caps: list[int], chars: str = "result_chars") ->
 
 
 def threshold_sweep(labels: DataFrame, thresholds: list[float], label: str = "result_needed", chars: str = "output_chars") -> DataFrame:
-    """Operating points: ``threshold, freed_chars, wrong_drops, kept_needed, dominated``: whether another point frees more and loses less."""
+    """Operating points: ``threshold, freed_chars, wrong_drops, kept_needed, dominated``: whether another point frees as
+    much and loses as little, and is better in one of the two."""
     each = labels.select("score", label, chars, F.explode(F.array(*map(F.lit, thresholds))).alias("threshold"))
     low = F.col("score") < F.col("threshold")
     points = each.groupBy("threshold").agg(F.sum(F.when(low, F.col(chars)).otherwise(0)).alias("freed_chars"), F.count_if(low & F.col(label)).alias("wrong_drops"), F.count_if(~low & F.col(label)).alias("kept_needed"))
-    better = Window.orderBy(F.desc("freed_chars"), "wrong_drops").rowsBetween(Window.unboundedPreceding, -1)
-    return points.withColumn("dominated", F.coalesce(F.min("wrong_drops").over(better) <= F.col("wrong_drops"), F.lit(False)))  # a row per threshold
+    more = Window.orderBy(F.desc("freed_chars")).rangeBetween(Window.unboundedPreceding, -1)  # a row per threshold
+    as_much = Window.partitionBy("freed_chars")
+    beaten = F.coalesce(F.min("wrong_drops").over(more) <= F.col("wrong_drops"), F.lit(False)) | (F.min("wrong_drops").over(as_much) < F.col("wrong_drops"))
+    return points.withColumn("dominated", beaten)
 
 
 def oracle_gap(labels: DataFrame, chars: str = "output_chars") -> DataFrame:

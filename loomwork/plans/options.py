@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 # Fixed values.
@@ -11,6 +12,7 @@ TARGET_KEYS = ["file_path", "notebook_path", "command", "url", "pattern", "path"
 FEATURES = ["bias", "tool=Read", "tool=Bash", "tool=Edit|Write", "tool=Grep|Glob", "isError", "targetTouchedAfter", "targetReadAgain", "size=very short", "size=short", "size=very long", "age=long ago", "age=just now"]
 KEEP_RESULT = [-0.854504, -0.080158, -0.103559, -1.961938, 0.0, -0.203870, 2.283794, -0.585116, -3.047582, -1.474709, -0.259475, 0.074074, 0.097573]
 KEEP_CALL = [-0.614181, -0.379293, -0.405222, 0.438643, 0.0, -0.059718, 3.600786, 4.605452, -2.658946, -1.263787, 0.195068, 0.062363, 0.059608]
+# Also fixed: head and tail of excerpts from the longest to none, characters a token, the note of a cut and its slack.
 EXCERPTS = [(2400, 700), (1400, 450), (800, 250), (400, 120), (150, 50), (0, 0)]
 CHARS_PER_TOKEN = 2.946
 #: Opens the note that takes the place of a cut text; its length counts in every figure of freed characters.
@@ -31,13 +33,18 @@ class Weights:
                 raise ValueError(f"each head takes {len(FEATURES)} finite numbers")
 
 
+def _finite(value, default):
+    return default if value is None or value != value or abs(value) == float("inf") else value
+
+
 def _within(value, low, high, default):
-    return default if value is None or value != value else min(high, max(low, value))
+    return min(high, max(low, _finite(value, default)))
 
 
 @dataclass(frozen=True)
 class Options:
-    """Values out of range are clamped, missing ones take the default."""
+    """Missing values and those that are not finite take the default. Counts are rounded down and have a least value; the share
+    to free lies within 0 and 1; a threshold is taken as it is, so that one over 1 keeps nothing and one below 0 everything."""
 
     keep_threshold: float | None = 0.2
     preserve_recent: int | None = 6
@@ -48,15 +55,13 @@ class Options:
     max_kept_chars: int | None = 24_000
 
     def __post_init__(self) -> None:
-        fix = lambda name, low, high, default: object.__setattr__(self, name, _within(getattr(self, name), low, high, default))
-        big = 2**31 - 1
-        fix("keep_threshold", 0.0, 1.0, 0.2)
-        fix("preserve_recent", 0, big, 6)
-        fix("max_state_tokens", 1, big, 700)
-        fix("target_reduction", 0.0, 1.0, 0.5)
-        fix("head_chars", 0, big, 300)
-        fix("min_yield_chars", 0, big, 200)
-        fix("max_kept_chars", 0, big, 24_000)
+        put = lambda name, value: object.__setattr__(self, name, value)
+        defaults = {name: f.default for name, f in self.__dataclass_fields__.items()}
+        for name, default in defaults.items():
+            put(name, _finite(getattr(self, name), default))
+        put("target_reduction", min(1.0, max(0.0, self.target_reduction)))
+        for name, least in (("preserve_recent", 0), ("max_state_tokens", 64), ("head_chars", 0), ("min_yield_chars", 0), ("max_kept_chars", 0)):
+            put(name, max(least, math.floor(getattr(self, name))))
 
 
 @dataclass(frozen=True)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.functions import signatures, text
+from loomwork.functions import signatures, text, toolnames
 from loomwork.operators import costs, facts, labels, metrics, mining, models, nested, pairing, rebuild, recorder, retrieval, scoring, simulate
 from loomwork.operators.decide import decide, session_stats
 from loomwork.plans.options import KEEP_CALL, KEEP_RESULT
@@ -37,6 +38,14 @@ def p3_found(spark, sf):
     return nested.blocks(table(spark, sf, "raw_lines")).select("raw_id", "path", "kind", "ref_id").distinct()
 
 
+SQL["p3_found"] = """WITH RECURSIVE d AS (SELECT DISTINCT ON (raw_id) raw_id, line::JSON AS j FROM raw_lines WHERE raw_id IS NOT NULL AND json_valid(line) AND json_type(line) = 'OBJECT'),
+m AS (SELECT raw_id, list_contains(json_keys(j), 'message') AS own, CASE WHEN list_contains(json_keys(j), 'message') THEN j -> '$.message.content' ELSE j -> '$.payload.content' END AS c FROM d),
+t AS (SELECT raw_id, CAST(i AS VARCHAR) AS path, c -> CAST('$[' || i || ']' AS VARCHAR) AS j FROM (SELECT raw_id, c, unnest(range(0, json_array_length(c)::BIGINT)) AS i FROM m WHERE json_type(c) = 'ARRAY')
+  UNION ALL SELECT raw_id, path || '.' || i, c -> CAST('$[' || i || ']' AS VARCHAR) FROM (SELECT raw_id, path, j -> '$.content' AS c, unnest(range(0, json_array_length(j -> '$.content')::BIGINT)) AS i FROM t WHERE json_type(j) = 'OBJECT' AND json_type(j -> '$.content') = 'ARRAY'))
+SELECT DISTINCT raw_id, path, coalesce(j ->> '$.type', '') AS kind, coalesce(j ->> '$.id', j ->> '$.tool_use_id', '') AS ref_id FROM t WHERE json_type(j) = 'OBJECT'
+UNION SELECT raw_id, '0', 'text', '' FROM m WHERE own AND json_type(c) = 'VARCHAR'"""
+
+
 @query
 def p3_blocks(spark, sf):
     return nested.blocks(table(spark, sf, "raw_lines"))
@@ -278,45 +287,52 @@ SQL["error_fix"] = _CALLS + ", b AS (SELECT session, target AS sig, call_seq, is
 
 
 def _signals(spark, sf):
-    return _calls(spark, sf).select(F.col("tool").alias("kind"), F.col("target").alias("sig"), F.lit(1).cast("long").alias("calls"), F.col("result_chars").alias("chars"), F.col("session").cast("string").alias("session"), F.lit("").alias("sample"), F.col("event_id").cast("long").alias("at"))
+    return _calls(spark, sf).select(F.col("tool").alias("kind"), F.col("target").alias("sig"), F.lit(1).cast("long").alias("calls"), F.col("result_chars").alias("chars"), F.col("session").cast("string").alias("session"), F.concat_ws(" ", "tool", "result_chars").alias("sample"), F.col("event_id").cast("long").alias("at"))
 
 
 @query
 def signal_counters(spark, sf):
     c = recorder.counted(_signals(spark, sf))
-    return c.select("kind", "sig", "n", "calls", "chars", F.array_join("sessions", ",").alias("sessions"), "last_seen")
+    return c.select("kind", "sig", "n", "calls", "chars", F.array_join("sessions", ",").alias("sessions"), F.array_join("samples", "|").alias("samples"), "last_seen")
 
 
 SQL["signal_counters"] = (
     _CALLS
     + """, f AS (SELECT tool AS kind, target AS sig, CAST(session AS VARCHAR) AS s, min(event_id) AS first FROM calls GROUP BY ALL),
 p AS (SELECT *, row_number() OVER (PARTITION BY kind, sig ORDER BY first, s) AS k FROM f),
-l AS (SELECT kind, sig, string_agg(s, ',' ORDER BY k) AS sessions FROM p WHERE k <= 50 GROUP BY ALL)
-SELECT c.tool AS kind, c.target AS sig, count(*) AS n, count(*) AS calls, CAST(sum(c.result_chars) AS BIGINT) AS chars, any_value(l.sessions) AS sessions, CAST(max(c.event_id) AS BIGINT) AS last_seen
-FROM calls c JOIN l ON l.kind = c.tool AND l.sig = c.target GROUP BY c.tool, c.target"""
+l AS (SELECT kind, sig, string_agg(s, ',' ORDER BY k) AS sessions FROM p WHERE k <= 50 GROUP BY ALL),
+f2 AS (SELECT tool AS kind, target AS sig, tool || ' ' || result_chars AS s, min(event_id) AS first FROM calls GROUP BY ALL),
+p2 AS (SELECT *, row_number() OVER (PARTITION BY kind, sig ORDER BY first, s) AS k FROM f2),
+l2 AS (SELECT kind, sig, string_agg(s, '|' ORDER BY k) AS samples FROM p2 WHERE k <= 3 GROUP BY ALL)
+SELECT c.tool AS kind, c.target AS sig, count(*) AS n, count(*) AS calls, CAST(sum(c.result_chars) AS BIGINT) AS chars, any_value(l.sessions) AS sessions, any_value(l2.samples) AS samples, CAST(max(c.event_id) AS BIGINT) AS last_seen
+FROM calls c JOIN l ON l.kind = c.tool AND l.sig = c.target JOIN l2 ON l2.kind = c.tool AND l2.sig = c.target GROUP BY c.tool, c.target"""
 )
 
 
 @query
 def fair_prune(spark, sf):
-    c = _signals(spark, sf).groupBy("kind", "sig").agg(F.count("*").alias("n"), F.max("at").alias("last_seen"))
-    return recorder.fair_prune(c, 120)
+    c = _signals(spark, sf).groupBy("kind", "sig").agg(F.count("*").alias("n"), F.max("at").alias("last_seen"), F.min("at").alias("first_seen"))
+    return recorder.fair_prune(c, 120, "first_seen")
 
 
 SQL["fair_prune"] = (
     _CALLS
-    + """, c AS (SELECT tool AS kind, target AS sig, count(*) AS n, CAST(max(event_id) AS BIGINT) AS last_seen FROM calls GROUP BY ALL),
-r AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY n DESC, last_seen DESC, sig) AS p, min(last_seen) OVER (PARTITION BY kind) AS first FROM c)
-SELECT kind, sig, n, last_seen FROM r ORDER BY p, first, kind LIMIT 120"""
+    + """, c AS (SELECT tool AS kind, target AS sig, count(*) AS n, CAST(max(event_id) AS BIGINT) AS last_seen, CAST(min(event_id) AS BIGINT) AS first_seen FROM calls GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY n DESC, last_seen DESC, sig) AS p, min(first_seen) OVER (PARTITION BY kind) AS first FROM c)
+SELECT kind, sig, n, last_seen, first_seen FROM r ORDER BY p, first, kind LIMIT 120"""
 )
 
 
 @query
 def proposals(spark, sf):
-    return recorder.proposals(recorder.counted(_signals(spark, sf)), 3, 2).select("kind", "sig", "n", *long("n_sessions"), F.round("saved", 6).alias("saved"))
+    return recorder.proposals(recorder.counted(_signals(spark, sf)), 3, 2).select(*long("rank"), "kind", "sig", "n", *long("n_sessions"), F.round("saved", 6).alias("saved"))
 
 
-SQL["proposals"] = _CALLS + " SELECT tool AS kind, target AS sig, count(*) AS n, least(50, count(DISTINCT session)) AS n_sessions, round(count(*) * (1 + sum(result_chars) / count(*) / 1000), 6) AS saved FROM calls GROUP BY ALL HAVING count(*) >= 3 AND count(DISTINCT session) >= 2"
+SQL["proposals"] = (
+    _CALLS
+    + """, p AS (SELECT tool AS kind, target AS sig, count(*) AS n, least(50, count(DISTINCT session)) AS n_sessions, round(count(*) * (1 + sum(result_chars) / count(*) / 1000), 6) AS saved FROM calls GROUP BY ALL HAVING count(*) >= 3 AND count(DISTINCT session) >= 2)
+SELECT row_number() OVER (ORDER BY saved DESC, n DESC, kind, sig) AS rank, * FROM p"""
+)
 
 
 @query
@@ -491,10 +507,14 @@ SQL["oracle_gap"] = _LABELS + " SELECT CAST(sum(output_chars) AS BIGINT) AS tota
 @query
 def operating_points(spark, sf):
     out = simulate.threshold_sweep(_labels(spark, sf), [k / 20 for k in range(1, 20)])
-    return out.select("threshold", "freed_chars", "wrong_drops", "kept_needed")
+    return out.select("threshold", "freed_chars", "wrong_drops", "kept_needed", "dominated")
 
 
-SQL["operating_points"] = _LABELS + " SELECT t / 20::DOUBLE AS threshold, CAST(sum(CASE WHEN score < t / 20::DOUBLE THEN output_chars ELSE 0 END) AS BIGINT) AS freed_chars, count(*) FILTER (score < t / 20::DOUBLE AND result_needed) AS wrong_drops, count(*) FILTER (score >= t / 20::DOUBLE AND result_needed) AS kept_needed FROM labels, (SELECT unnest(range(1, 20)) AS t) GROUP BY 1"
+SQL["operating_points"] = (
+    _LABELS
+    + """, p AS (SELECT t / 20::DOUBLE AS threshold, CAST(sum(CASE WHEN score < t / 20::DOUBLE THEN output_chars ELSE 0 END) AS BIGINT) AS freed_chars, count(*) FILTER (score < t / 20::DOUBLE AND result_needed) AS wrong_drops, count(*) FILTER (score >= t / 20::DOUBLE AND result_needed) AS kept_needed FROM labels, (SELECT unnest(range(1, 20)) AS t) GROUP BY 1)
+SELECT *, EXISTS (FROM p AS q WHERE q.freed_chars >= p.freed_chars AND q.wrong_drops <= p.wrong_drops AND (q.freed_chars > p.freed_chars OR q.wrong_drops < p.wrong_drops)) AS dominated FROM p"""
+)
 
 
 @query
@@ -549,14 +569,25 @@ SELECT doc_id, CAST(ceil(list_reduce(costs, lambda a, b: a + b)) AS BIGINT) AS t
 
 @query
 def intent_words(spark, sf):
-    d = table(spark, sf, "documents").filter(F.col("source") == "user_prompt")
-    return d.select("doc_id", signatures.intent_signature(F.col("text")).alias("intent"), signatures.is_correction(F.col("text")).alias("correction"))
+    return table(spark, sf, "documents").select("doc_id", signatures.intent_signature(F.col("text")).alias("intent"), signatures.is_correction(F.col("text")).alias("correction"))
+
+
+SQL["intent_words"] = (
+    "SELECT doc_id, array_to_string(list_sort(list_slice(list_filter(f, lambda w, i: list_position(f, w) = i), 1, 4)), ' ') AS intent, coalesce(len(list_filter(["
+    + ", ".join("'" + c.replace("'", "''") + "'" for c in signatures.CORRECTIONS)
+    + "], lambda c: starts_with(substring(lower(trim(text, ' ')), 1, 40), c))) > 0, false) AS correction FROM (SELECT doc_id, text, list_filter(regexp_extract_all(regexp_replace(lower(coalesce(text, '')), '(?s)```.*?```', ' ', 'g'), '[a-z][a-z0-9-]{2,}'), lambda w: w NOT IN ("
+    + ", ".join(f"'{w}'" for w in signatures.STOPWORDS)
+    + ")) AS f FROM documents)"
+)
 
 
 @query
-def redacted_documents(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", "text", signatures.redact(F.col("text")).alias("redacted"))
-    return d.filter(F.col("text") != F.col("redacted")).select("doc_id", "redacted")
+def redacted_texts(spark, sf):
+    """Texts of all rows in which something is redacted."""
+    blocks = table(spark, sf, "subagent").dropDuplicates(["row_id"]).select("row_id", F.posexplode("message.content").alias("block_no", "b"))
+    parts = F.array(F.col("b.text"), F.col("b.content"), F.array_join(F.transform("b.items", lambda i: i["text"]), "\n"))
+    each = blocks.select("row_id", "block_no", F.posexplode(parts).alias("part", "text")).filter(F.length("text") > 0)
+    return each.withColumn("redacted", signatures.redact(F.col("text"))).filter(F.col("text") != F.col("redacted")).select("row_id", "block_no", "part", "redacted")
 
 
 @query
@@ -572,6 +603,9 @@ def sentence_counts(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.size(text.sentences(F.col("text"))).alias("sentences"))
 
 
+SQL["sentence_counts"] = r"""SELECT doc_id, len(list_filter(string_split_regex(regexp_replace(coalesce(text, ''), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1) || '|\n+'), lambda s: len(string_split_regex(trim(s, chr(32) || chr(9) || chr(10) || chr(13) || chr(160) || chr(12288)), '\s+')) >= 3))::INTEGER AS sentences FROM documents"""
+
+
 @query
 def shingle_owners(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", F.explode(F.array_distinct(text.shingles(F.col("text"), 8))).alias("shingle"))
@@ -606,14 +640,14 @@ SQL["idf_terms"] = _POSTINGS + " SELECT term, df, round(idf, 9) AS idf FROM idf"
 def bm25_top5(spark, sf):
     asked = table(spark, sf, "flow_discovery").filter(F.col("intent").isNotNull()).select(F.col("intent").alias("query"), F.explode(text.words(F.col("intent"), "[a-z0-9]{2,}")).alias("term"))
     ranked = retrieval.bm25(retrieval.terms(table(spark, sf, "documents"), "doc_id", "text"), asked, "doc_id", "query", 5)
-    return ranked.select("query", *long("rank"), F.round("score", 6).alias("score"))
+    return ranked.select("query", *long("rank"), "doc_id", F.round("score", 6).alias("score"))
 
 
 SQL["bm25_top5"] = (
     _POSTINGS
     + """, q AS (SELECT DISTINCT intent AS query, unnest(regexp_extract_all(lower(intent), '[a-z0-9]{2,}')) AS term FROM flow_discovery WHERE intent IS NOT NULL), m AS (SELECT avg(length) AS mean FROM (SELECT DISTINCT doc_id, length FROM p)),
 s AS (SELECT query, doc_id, sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / mean))) AS score FROM q JOIN p USING (term) JOIN idf USING (term), m GROUP BY ALL),
-r AS (SELECT query, score, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s) SELECT query, rank, round(score, 6) AS score FROM r WHERE rank <= 5"""
+r AS (SELECT query, doc_id, score, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s) SELECT query, rank, doc_id, round(score, 6) AS score FROM r WHERE rank <= 5"""
 )
 
 # ---- transcripts
@@ -667,6 +701,14 @@ def session_goals(spark, sf):
     return pairing.goals(_messages(spark, sf))
 
 
+SQL["session_goals"] = (
+    _ROWS
+    + r""", p AS (SELECT session, msg_idx, array_to_string(list_transform(list_filter(content, lambda b: b.type = 'text' AND b.text IS NOT NULL), lambda b: b.text), chr(10)) AS text FROM m WHERE role = 'user' AND len(list_filter(content, lambda b: b.type = 'tool_result')) = 0),
+g AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY msg_idx DESC) AS back FROM p WHERE regexp_matches(text, '\S'))
+SELECT session, string_agg(CASE WHEN length(text) <= 500 THEN text ELSE substring(text, 1, 499) || '…' END, chr(10) ORDER BY msg_idx) AS goal FROM g WHERE back <= 3 GROUP BY session"""
+)
+
+
 @query
 def transcript_features(spark, sf):
     c = _transcript_calls(spark, sf)
@@ -701,16 +743,41 @@ def command_shapes(spark, sf):
     return c.withColumn("shape", signatures.command_signature(F.col("command"))).groupBy("shape").agg(F.count("*").alias("n"), F.count_distinct("session").alias("sessions"))
 
 
+def _usage(spark, sf):
+    """Rows with usage, and the summaries that a compaction leaves as boundaries between them."""
+    s = table(spark, sf, "subagent").filter(F.col("session").isNotNull()).dropDuplicates(["row_id"])
+    boundary = F.coalesce(F.lower(F.trim("type")) == "summary", F.lit(False))
+    return s.filter(F.col("message.usage").isNotNull() | boundary).select(
+        "session", "line_no", "row_id", boundary.alias("is_boundary"), F.col("message.id").alias("message_id"), F.col("message.usage.cache_read_input_tokens").alias("cache_read"), F.col("message.usage.cache_creation_input_tokens").alias("cache_created")
+    )
+
+
 @query
 def cache_segments(spark, sf):
-    s = table(spark, sf, "subagent").filter(F.col("session").isNotNull()).dropDuplicates(["row_id"])
-    u = s.filter(F.col("message.usage").isNotNull()).select("session", "line_no", "row_id", F.lit(False).alias("is_boundary"), F.col("message.id").alias("message_id"), F.col("message.usage.cache_read_input_tokens").alias("cache_read"), F.col("message.usage.cache_creation_input_tokens").alias("cache_created"))
-    out = costs.cache_segments(u, "session", ["line_no", "row_id"])
+    out = costs.cache_segments(_usage(spark, sf), "session", ["line_no", "row_id"])
     return out.select("session", *long("segment", "turns", "first_created", "last_read"))
 
 
-SQL["cache_segments"] = """WITH d AS (SELECT DISTINCT ON (row_id) row_id, session, line_no, message.id AS id, message.usage AS u FROM subagent WHERE session IS NOT NULL), k AS (SELECT *, row_number() OVER w AS o, lag(id) OVER w AS p FROM d WHERE u IS NOT NULL WINDOW w AS (PARTITION BY session ORDER BY line_no, row_id))
-SELECT session, 0::BIGINT AS segment, count(*) AS turns, min_by(u.cache_creation_input_tokens, o) AS first_created, max_by(u.cache_read_input_tokens, o) AS last_read FROM k WHERE p IS NULL OR p IS DISTINCT FROM id GROUP BY session"""
+_SEGMENTS = """WITH d AS (SELECT DISTINCT ON (row_id) row_id, session, line_no, coalesce(lower(trim(type)) = 'summary', false) AS b, message.id AS id, message.usage AS u FROM subagent WHERE session IS NOT NULL),
+k AS (SELECT *, CAST(sum(CASE WHEN b THEN 1 ELSE 0 END) OVER w AS BIGINT) AS segment, row_number() OVER w AS o FROM d WHERE u IS NOT NULL OR b WINDOW w AS (PARTITION BY session ORDER BY line_no, row_id)),
+t AS (SELECT *, lag(id) OVER (PARTITION BY session, segment ORDER BY o) AS p FROM k WHERE NOT b),
+s AS (SELECT session, segment, count(*) AS turns, min_by(u.cache_creation_input_tokens, o) AS first_created, max_by(u.cache_read_input_tokens, o) AS last_read FROM t WHERE p IS NULL OR p IS DISTINCT FROM id GROUP BY session, segment)"""
+
+SQL["cache_segments"] = _SEGMENTS + " SELECT session, segment, turns, first_created, last_read FROM s"
+
+
+@query
+def cache_breakeven(spark, sf):
+    """Compactions: what each freed of the cache, what its first turn wrote anew, and the turns until that pays."""
+    events = costs.cache_events(costs.cache_segments(_usage(spark, sf), "session", ["line_no", "row_id"]), "session")
+    return events.select("session", *long("segment", "freed", "recached", "turns"), F.round(costs.breakeven_turns(F.col("freed"), F.col("recached")), 6).alias("breakeven"))
+
+
+SQL["cache_breakeven"] = (
+    _SEGMENTS
+    + """, e AS (SELECT *, lag(last_read) OVER (PARTITION BY session ORDER BY segment) - last_read AS freed, lag(last_read) OVER (PARTITION BY session ORDER BY segment) IS NOT NULL AS known FROM s)
+SELECT session, segment, freed, first_created AS recached, turns, CASE WHEN freed > 0 THEN round(first_created * 1.15 / (freed * 0.1), 6)::DOUBLE END AS breakeven FROM e WHERE known"""
+)
 
 
 @query
@@ -728,8 +795,14 @@ SELECT session, call_id, max_by(output, (line_no, output)) AS output, max_by(exi
 
 
 def _flows(spark, sf):
-    once = table(spark, sf, "flow_discovery").dropDuplicates(["flow_id"])
-    return once.withColumn("flow", F.array_join(F.filter(F.split("flow", r"\s*(?:->|→|⇒| > )\s*"), lambda s: F.trim(s) != ""), mining.ARROW))
+    """Flows once each, their steps in proper spelling, whatever separates them."""
+    tools = toolnames.catalog(table(spark, sf, "tool_catalog"))
+
+    @F.pandas_udf("string")
+    def spelled(flows: pd.Series) -> pd.Series:
+        return flows.map(lambda f: mining.ARROW.join(toolnames.flow_steps(f, tools)))
+
+    return table(spark, sf, "flow_discovery").dropDuplicates(["flow_id"]).withColumn("flow", spelled("flow"))
 
 
 @query

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomwork.functions.prefix import ordered_totals
+
 _BLOCK = "array<struct<type:string,text:string,thinking:string,id:string,name:string,input:string,tool_use_id:string,content:string,is_error:boolean>>"
 USES = "array<struct<tool_use_id:string,tool:string,input_json:string>>"
 RESULTS = "array<struct<tool_use_id:string,text:string,is_error:boolean>>"
@@ -114,7 +116,7 @@ def with_scores(labels: DataFrame, scores: DataFrame) -> DataFrame:
     """Labels with scores by composite key, else by bare id."""
     a = scores.select(F.col("config").alias("config_a"), F.col("key").alias("key_a"), F.struct("result", "call").alias("by_row"))
     b = scores.select(F.col("config").alias("config_b"), F.col("key").alias("key_b"), F.struct("result", "call").alias("by_id"))
-    configs = F.broadcast(scores.select("config").distinct().limit(1000))
+    configs = scores.select("config").distinct()
     each = labels.withColumn("__k", F.concat_ws("\x00", "session", "tool_use_id")).join(configs)
     found = each.join(a, (F.col("__k") == F.col("key_a")) & (F.col("config") == F.col("config_a")), "left").join(b, (F.col("tool_use_id") == F.col("key_b")) & (F.col("config") == F.col("config_b")), "left")
     return found.withColumn("s", F.coalesce("by_row", "by_id")).select(*labels.columns, "config", F.col("s.result").alias("score_result"), F.col("s.call").alias("score_call"))
@@ -135,11 +137,16 @@ def signals(spark: SparkSession, file: str) -> DataFrame:
     return each.select("kind", "sig", "n", F.coalesce("calls", F.lit(0)).alias("calls"), F.coalesce("chars", F.lit(0)).alias("chars"), F.coalesce("sessions", F.array().cast("array<string>")).alias("sessions"), F.coalesce("samples", F.array().cast("array<string>")).alias("samples"), F.col("lastSeen").alias("last_seen"))
 
 
+STORE_ROWS = 2000
+
+
 def write_store(signal_rows: DataFrame, path: str, written_at: int, version: int = 1) -> None:
-    """One JSON object ``{version, writtenAt, rows}`` of a store that was pruned before."""
+    """One JSON object ``{version, writtenAt, rows}`` of a store that was pruned before; a larger one is refused."""
+    if len(signal_rows.take(STORE_ROWS + 1)) > STORE_ROWS:
+        raise ValueError(f"more than {STORE_ROWS} rows; prune the store first")
     row = F.struct("kind", "sig", "n", "calls", "chars", "sessions", "samples", F.col("last_seen").alias("lastSeen"))
     entries = F.map_from_entries(F.collect_list(F.struct(F.concat_ws("::", "kind", "sig"), row)))
-    signal_rows.limit(2000).agg(entries.alias("rows")).select(F.to_json(F.struct(F.lit(version).alias("version"), F.lit(written_at).alias("writtenAt"), "rows")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    signal_rows.agg(entries.alias("rows")).select(F.to_json(F.struct(F.lit(version).alias("version"), F.lit(written_at).alias("writtenAt"), "rows")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
 def write_labels(labels: DataFrame, path: str) -> None:
@@ -159,10 +166,8 @@ LEAKS = r"(?i)/(?:home|users|root)/|@[a-z0-9-]+\.|gh[pousr]_[A-Za-z0-9]{16}|sk-[
 def anonymised(rows: DataFrame, order: str, key: str = "session", private: str = r"[~/.A-Za-z0-9_-]*/[A-Za-z0-9_./-]+") -> DataFrame:
     """Keys numbered by first appearance and paths scrubbed in every text; call ``assert_clean`` before publishing."""
     first = rows.groupBy(key).agg(F.min(order).alias("__first"))
-    # numbered over distinct keys only, in two levels, so that no task sees them all
-    from loomwork.functions.prefix import running_total
-
-    ranked = running_total(first.withColumn("__all", F.lit(0)), ["__all"], [F.col(key)], F.lit(1), "__rank").select(key, F.concat(F.lit("s"), (F.col("__rank") + 1).cast("string")).alias("__new"))
+    placed = ordered_totals(first, ["__first", key], {"__rank": F.lit(1)})
+    ranked = placed.select(key, F.concat(F.lit("s"), (F.col("__rank") + 1).cast("string")).alias("__new"))
     joined = rows.join(ranked, key)
     texts = {f.name: F.regexp_replace(f.name, private, "<path>") for f in rows.schema if isinstance(f.dataType, T.StringType) and f.name != key}
     return joined.withColumns(texts).withColumn(key, F.col("__new")).select(*rows.columns)

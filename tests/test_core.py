@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomwork.functions import signatures as S
 from loomwork.functions import text as T
-from loomwork.functions.prefix import running_total
+from loomwork.functions.prefix import ordered_totals, running_total
 from loomwork.operators import costs, facts, labels, metrics, mining, models, nested, pairing, rebuild, recorder, retrieval, scoring, simulate
 from loomwork.operators.decide import decide, handover
 from loomwork.plans.options import FEATURES, MARK, Options, PassOptions, Weights
@@ -153,7 +153,8 @@ def test_decisions_match_the_loop(spark, seed):
 
 
 def test_options_are_clamped():
-    assert Options(keep_threshold=9, target_reduction=-1, head_chars=None).keep_threshold == 1 and Options(target_reduction=-1).target_reduction == 0
+    assert Options(keep_threshold=1.5).keep_threshold == 1.5 and Options(target_reduction=-1, head_chars=None) == Options(target_reduction=0)
+    assert Options(max_state_tokens=10).max_state_tokens == 64 and Options(preserve_recent=2.7).preserve_recent == 2 and Options(keep_threshold=float("nan"), min_yield_chars=-3.5) == Options(min_yield_chars=0)
     assert PassOptions(compact_at_percent=99, min_freed_percent=0, max_passes=0) == PassOptions(69, 0.1, 1)
     with pytest.raises(ValueError):
         Weights(keep_call=(1.0,))
@@ -453,3 +454,47 @@ def test_nested_records_of_any_depth(spark):
     line = '{"message":{"content":' + '[{"type":"x","content":' * deep + "[]" + "}]" * deep + "}}"
     raw = spark.createDataFrame([(1, line)], "raw_id long, line string")
     assert nested.blocks(raw).count() == deep
+
+
+def test_ids_follow_the_first_appearance(spark):
+    rows = spark.createDataFrame([(k, at) for at, k in enumerate("hgfedcba")] + [("a", 100), ("h", 50)], "session string, at int")
+    new = {r.at: r.session for r in tr.anonymised(rows, "at").collect()}
+    assert [new[i] for i in range(8)] == [f"s{i + 1}" for i in range(8)] and new[100] == "s8" and new[50] == "s1"
+
+
+def test_proposals_are_ranked(spark):
+    rows = [("k", sig, n, n * calls, 0, ["a", "b"]) for sig, n, calls in (("x", 3, 1), ("y", 9, 1), ("z", 9, 1), ("w", 4, 5), ("rare", 2, 9))]
+    counters = spark.createDataFrame(rows, "kind string, sig string, n long, calls long, chars long, sessions array<string>")
+    assert [(r["rank"], r.sig) for r in recorder.proposals(counters).collect()] == [(1, "w"), (2, "y"), (3, "z"), (4, "x")]
+
+
+def test_kinds_take_turns_by_first_arrival(spark):
+    rows = [("late", "a", 5, 9, 7), ("early", "b", 5, 20, 1), ("late", "c", 4, 8, 6), ("early", "d", 4, 30, 2)]
+    counters = spark.createDataFrame(rows, "kind string, sig string, n long, last_seen long, first_seen long")
+    assert [r.sig for r in recorder.fair_prune(counters, 3, "first_seen").collect()] == ["b", "a", "d"]
+
+
+def test_totals_by_order_match_a_window(spark):
+    rows = spark.createDataFrame([(i * 7919 % 500, i % 5) for i in range(500)], "k int, v int").repartition(7)
+    got = {r.k: r.before for r in ordered_totals(rows, ["k"], {"before": F.col("v")}).collect()}
+    total, expected = 0, {}
+    for r in sorted(rows.collect()):
+        expected[r.k], total = total, total + r.v
+    assert got == expected
+    assert ordered_totals(rows.limit(0), ["k"], {"before": F.col("v")}).count() == 0
+
+
+def test_a_point_equal_to_another_is_not_dominated(spark):
+    labels = spark.createDataFrame([(0.1, False, 10), (0.5, True, 10)], "score double, result_needed boolean, output_chars long")
+    got = {r.threshold: r.dominated for r in simulate.threshold_sweep(labels, [0.2, 0.3, 0.9]).collect()}
+    assert got == {0.2: False, 0.3: False, 0.9: False}
+
+
+def test_a_cluster_without_a_shared_folder_is_refused(spark):
+    from types import SimpleNamespace
+
+    from loomwork.functions.shared import shared_dir
+
+    settings = SimpleNamespace(get=lambda name, default=None: default)
+    with pytest.raises(ValueError):
+        shared_dir(SimpleNamespace(conf=settings, sparkContext=SimpleNamespace(master="spark://host:7077")))
