@@ -104,3 +104,19 @@ def fit_temperature(df: DataFrame, score: str, label: str) -> DataFrame:
     q = temperature(F.col("s"), F.col("t"))
     loss = F.sum(-F.col("n") * F.log(F.when(F.col("y"), q).otherwise(1 - q))) / F.sum("n")
     return each.groupBy("t").agg(loss.alias("loss")).agg(F.min(F.struct("loss", "t")).alias("b")).select(F.col("b.t").alias("temperature"), F.col("b.loss").alias("loss"))
+
+
+def grouped_splits(df: DataFrame, key: str, score: str, label: str, splits: int = 10, percent: int = 30) -> DataFrame:
+    """The area under the curve on held-out sessions, over repeated splits: ``split, sessions, n, positives, auc``.
+
+    A session is held out of a split by the hash of its name and the split's number, so all its rows go together.
+    """
+    drawn = F.conv(F.substring(F.md5(F.concat_ws(":", F.col(key), F.col("split").cast("string"))), 1, 8), 16, 10).cast("long") % 100
+    held = df.select(key, score, label, F.explode(F.sequence(F.lit(0), F.lit(splits - 1))).alias("split")).filter(drawn < percent)
+    grouped = held.groupBy("split", F.col(score).alias("s")).agg(F.count("*").alias("n"), F.count_if(label).alias("pos"))
+    below = Window.partitionBy("split").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)  # distinct scores only
+    ranks = grouped.withColumn("r", F.col("pos") * (F.coalesce(F.sum("n").over(below), F.lit(0)) + (F.col("n") + 1) / 2))
+    sums = ranks.groupBy("split").agg(F.sum("r").alias("r"), F.sum("pos").alias("p"), F.sum("n").alias("n"))
+    sessions = held.groupBy("split").agg(F.count_distinct(key).alias("sessions"))
+    p, q = F.col("p"), F.col("n") - F.col("p")
+    return sums.join(sessions, "split").select("split", "sessions", "n", p.alias("positives"), F.when((p > 0) & (q > 0), (F.col("r") - p * (p + 1) / 2) / (p * q)).alias("auc"))

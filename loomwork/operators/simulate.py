@@ -8,6 +8,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwork.functions.prefix import ordered_totals
+from loomwork.operators.metrics import quantiles
+
 from loomwork.functions.text import truncated_length
 from loomwork.plans.options import CHARS_PER_TOKEN
 
@@ -105,3 +108,45 @@ def pass_loop(messages: DataFrame, trigger_tokens: int, floor_tokens: int, freed
 
     kind = dict(messages.dtypes)
     return messages.select("session", "ord", "chars", "droppable").groupBy("session").applyInPandas(run, f"session {kind['session']}, pass int, at {kind['ord']}, tokens_before long, tokens_after long, why string")
+
+
+def matched_baseline(labels: DataFrame, order: list[str], freed: int, label: str = "result_needed", chars: str = "output_chars") -> DataFrame:
+    """Drops over all sessions in the order of these columns until as much is freed as another policy frees: ``dropped, freed_chars,
+    wrong_drops``; the drop that crosses it still goes."""
+    summed = ordered_totals(labels.select(*order, label, chars), order, {"__before": F.col(chars)}).filter(F.col("__before") < freed)
+    return summed.agg(F.count("*").alias("dropped"), F.coalesce(F.sum(chars), F.lit(0)).alias("freed_chars"), F.count_if(label).alias("wrong_drops"))
+
+
+def error_policies(labels: DataFrame, penalties: list[float], threshold: float, chars: str = "output_chars") -> DataFrame:
+    """What comes of marking failed calls down by a penalty, or of dropping them all: ``penalty, hard, dropped, freed_chars, wrong_drops``."""
+    grid = F.explode(F.array(*(F.struct(F.lit(float(p)).alias("penalty"), F.lit(hard).alias("hard")) for p in penalties for hard in (False, True)))).alias("g")
+    each = labels.select("score", "is_error", "result_needed", chars, grid).select("*", "g.*")
+    failed = F.coalesce(F.col("is_error"), F.lit(False))
+    low = (F.col("score") - F.when(failed, F.col("penalty")).otherwise(0.0) < threshold) | (F.col("hard") & failed)
+    return each.groupBy("penalty", "hard").agg(F.count_if(low).alias("dropped"), F.sum(F.when(low, F.col(chars)).otherwise(0)).alias("freed_chars"), F.count_if(low & F.col("result_needed")).alias("wrong_drops"))
+
+
+def head_tail_sweep(calls: DataFrame, caps: list[int], tail_shares: list[float], chars: str = "result_chars") -> DataFrame:
+    """Caps that keep a head and a tail of an output: ``cap, tail_share, capped_calls, head_chars, tail_chars, freed_chars``."""
+    grid = F.explode(F.array(*(F.struct(F.lit(c).cast("long").alias("cap"), F.lit(float(t)).alias("tail_share")) for c in caps for t in tail_shares))).alias("g")
+    each = calls.select(chars, grid).select(chars, "g.*")
+    tail = F.floor(F.col("cap") * F.col("tail_share")).cast("long")
+    over = F.col(chars) > F.col("cap")
+    total = lambda value: F.sum(F.when(over, value).otherwise(0))
+    return each.groupBy("cap", "tail_share").agg(F.count_if(over).alias("capped_calls"), total(F.col("cap") - tail).alias("head_chars"), total(tail).alias("tail_chars"), total(F.col(chars) - F.col("cap")).alias("freed_chars"))
+
+
+def cost_aware(labels: DataFrame, thresholds: list[float], chars: str = "output_chars") -> DataFrame:
+    """Keeping what scores enough or is no larger than the median: ``threshold, kept, freed_chars, kept_needed``."""
+    middle = quantiles(labels, chars).select(F.col("upper").alias("median"))
+    each = labels.select("score", "result_needed", chars, F.explode(F.array(*map(F.lit, thresholds))).alias("threshold")).join(F.broadcast(middle))  # one row
+    keep = (F.col("score") >= F.col("threshold")) | (F.col(chars) <= F.col("median"))
+    return each.groupBy("threshold").agg(F.count_if(keep).alias("kept"), F.sum(F.when(keep, 0).otherwise(F.col(chars))).alias("freed_chars"), F.count_if(keep & F.col("result_needed")).alias("kept_needed"))
+
+
+def reuse_targets(labels: DataFrame, within: list[int]) -> DataFrame:
+    """Labels by how soon an output is used again: ``within, positives, negatives, positive_chars``."""
+    distance = F.col("first_reuse_index") - F.col("result_index")
+    each = labels.withColumn("__d", distance).select("result_needed", "first_reuse_index", "__d", "output_chars", F.explode(F.array(*map(F.lit, within))).alias("within"))
+    soon = F.coalesce(F.col("result_needed") & (F.col("first_reuse_index") >= 0) & (F.col("__d") <= F.col("within")), F.lit(False))
+    return each.groupBy("within").agg(F.count_if(soon).alias("positives"), F.count_if(~soon).alias("negatives"), F.sum(F.when(soon, F.col("output_chars")).otherwise(0)).alias("positive_chars"))

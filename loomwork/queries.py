@@ -517,6 +517,93 @@ SELECT *, EXISTS (FROM p AS q WHERE q.freed_chars >= p.freed_chars AND q.wrong_d
 )
 
 
+@query
+def recency_baseline(spark, sf):
+    """Dropping the oldest outputs first, until as much is freed as by the scores under 0.2."""
+    held = _labels(spark, sf)
+    freed = held.agg(F.sum(F.when(F.col("score") < 0.2, F.col("output_chars")).otherwise(0)).alias("f")).first().f or 0
+    return simulate.matched_baseline(held.fillna(-1, ["result_index"]), ["result_index", "session", "tool_use_id"], freed)
+
+
+SQL["recency_baseline"] = (
+    _LABELS
+    + """, f AS (SELECT sum(CASE WHEN score < 0.2 THEN output_chars ELSE 0 END) AS target FROM labels), b AS (SELECT *, coalesce(sum(output_chars) OVER (ORDER BY coalesce(result_index, -1), session, tool_use_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM labels)
+SELECT count(*) AS dropped, CAST(sum(output_chars) AS BIGINT) AS freed_chars, count(*) FILTER (result_needed) AS wrong_drops FROM b, f WHERE before < target"""
+)
+
+
+@query
+def error_policy(spark, sf):
+    return simulate.error_policies(_labels(spark, sf), [0.0, 0.1, 0.2, 0.3], 0.2)
+
+
+SQL["error_policy"] = _LABELS + """, grid AS (SELECT * FROM (SELECT unnest([0.0::DOUBLE, 0.1, 0.2, 0.3]) AS penalty), (SELECT unnest([false, true]) AS hard)),
+e AS (SELECT grid.*, output_chars, result_needed, (score - CASE WHEN is_error THEN penalty ELSE 0 END < 0.2) OR (hard AND coalesce(is_error, false)) AS low FROM labels, grid)
+SELECT penalty, hard, count(*) FILTER (low) AS dropped, CAST(sum(CASE WHEN low THEN output_chars ELSE 0 END) AS BIGINT) AS freed_chars, count(*) FILTER (low AND result_needed) AS wrong_drops FROM e GROUP BY ALL"""
+
+
+@query
+def head_tail_sweep(spark, sf):
+    return simulate.head_tail_sweep(_calls(spark, sf), [2_000, 8_000, 24_000], [0.0, 0.25, 0.5])
+
+
+SQL["head_tail_sweep"] = _CALLS + """, grid AS (SELECT * FROM (SELECT unnest([2000::BIGINT, 8000, 24000]) AS cap), (SELECT unnest([0.0::DOUBLE, 0.25, 0.5]) AS tail_share)), e AS (SELECT *, CAST(floor(cap * tail_share) AS BIGINT) AS tail FROM calls, grid)
+SELECT cap, tail_share, count(*) FILTER (result_chars > cap) AS capped_calls, CAST(sum(CASE WHEN result_chars > cap THEN cap - tail ELSE 0 END) AS BIGINT) AS head_chars, CAST(sum(CASE WHEN result_chars > cap THEN tail ELSE 0 END) AS BIGINT) AS tail_chars, CAST(sum(CASE WHEN result_chars > cap THEN result_chars - cap ELSE 0 END) AS BIGINT) AS freed_chars FROM e GROUP BY ALL"""
+
+
+@query
+def cost_aware(spark, sf):
+    return simulate.cost_aware(_labels(spark, sf), [k / 10 for k in range(1, 10)])
+
+
+SQL["cost_aware"] = _LABELS + """, m AS (SELECT output_chars AS median FROM labels ORDER BY output_chars LIMIT 1 OFFSET (SELECT count(*) // 2 FROM labels)), e AS (SELECT t / 10::DOUBLE AS threshold, *, score >= t / 10::DOUBLE OR output_chars <= median AS keep FROM labels, m, (SELECT unnest(range(1, 10)) AS t))
+SELECT threshold, count(*) FILTER (keep) AS kept, CAST(sum(CASE WHEN keep THEN 0 ELSE output_chars END) AS BIGINT) AS freed_chars, count(*) FILTER (keep AND result_needed) AS kept_needed FROM e GROUP BY ALL"""
+
+
+@query
+def reuse_targets(spark, sf):
+    return simulate.reuse_targets(_labels(spark, sf), [10, 25, 50])
+
+
+SQL["reuse_targets"] = _LABELS + """, e AS (SELECT within, output_chars, coalesce(result_needed AND first_reuse_index >= 0 AND first_reuse_index - result_index <= within, false) AS soon FROM labels, (SELECT unnest([10, 25, 50]) AS within))
+SELECT within, count(*) FILTER (soon) AS positives, count(*) FILTER (NOT soon) AS negatives, CAST(sum(CASE WHEN soon THEN output_chars ELSE 0 END) AS BIGINT) AS positive_chars FROM e GROUP BY within"""
+
+
+@query
+def repeated_splits(spark, sf):
+    found = metrics.grouped_splits(_labels(spark, sf), "session", "score", "result_needed")
+    return found.select("split", "sessions", "n", "positives", F.round("auc", 9).alias("auc"))
+
+
+SQL["repeated_splits"] = _LABELS + """, h AS (SELECT split, session, score, result_needed FROM labels, (SELECT unnest(range(0, 10)) AS split) WHERE CAST('0x' || substr(md5(session || ':' || split), 1, 8) AS BIGINT) % 100 < 30),
+g AS (SELECT split, score, count(*) AS n, count(*) FILTER (result_needed) AS pos FROM h GROUP BY ALL), b AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY split ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM g),
+s AS (SELECT split, sum(pos * (below + (n + 1) / 2))::DOUBLE AS r, CAST(sum(pos) AS BIGINT) AS p, CAST(sum(n) AS BIGINT) AS n FROM b GROUP BY split), c AS (SELECT split, count(DISTINCT session) AS sessions FROM h GROUP BY split)
+SELECT CAST(split AS INTEGER) AS split, sessions, n, p AS positives, CASE WHEN p > 0 AND p < n THEN round((r - p * (p + 1) / 2) / (p * (n - p)), 9) END AS auc FROM s JOIN c USING (split)"""
+
+
+@query
+def rule_baselines(spark, sf):
+    """How well plain rules rank what is needed: size alone, recency alone, and success alone."""
+    held = _labels(spark, sf)
+    rules = {"size": F.col("output_chars").cast("double"), "recency": F.coalesce(F.col("result_index"), F.lit(-1)).cast("double"), "success": F.when(F.col("is_error"), 0.0).otherwise(1.0)}
+    each = [metrics.auc(held.withColumn("rule", v), "rule", "result_needed").select(F.lit(n).alias("rule"), F.round("auc", 9).alias("auc")) for n, v in rules.items()]
+    return each[0].unionByName(each[1]).unionByName(each[2])
+
+
+SQL["rule_baselines"] = _LABELS + """, e AS (SELECT unnest([{'rule': 'size', 's': output_chars::DOUBLE}, {'rule': 'recency', 's': coalesce(result_index, -1)::DOUBLE}, {'rule': 'success', 's': CASE WHEN is_error THEN 0.0 ELSE 1.0 END::DOUBLE}]) AS x, result_needed FROM labels),
+g AS (SELECT x.rule AS rule, x.s AS s, count(*) AS n, count(*) FILTER (result_needed) AS pos FROM e GROUP BY ALL), b AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY rule ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM g),
+t AS (SELECT rule, sum(pos * (below + (n + 1) / 2))::DOUBLE AS r, sum(pos) AS p, sum(n) AS n FROM b GROUP BY rule) SELECT rule, round((r - p * (p + 1) / 2) / (p * (n - p)), 9)::DOUBLE AS auc FROM t"""
+
+
+@query
+def raw_messages(spark, sf):
+    """Raw lines of the transcript dialect as messages, counted per session."""
+    found = tr.messages(table(spark, sf, "raw_lines").dropDuplicates(["raw_id"]))
+    return found.groupBy("session").agg(
+        F.count("*").alias("messages"), F.sum(F.size("tool_uses")).cast("long").alias("calls"), F.sum(F.size("tool_results")).cast("long").alias("results"), F.sum(text.units(F.col("text"))).alias("chars")
+    )
+
+
 @query
 def reuse_distance(spark, sf):
     d = _labels(spark, sf).filter(F.col("result_needed") & (F.col("first_reuse_index") >= 0)).withColumn("d", F.col("first_reuse_index") - F.col("result_index"))

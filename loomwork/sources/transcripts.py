@@ -52,16 +52,25 @@ def content_text(content: Column, separator: str = "\n") -> Column:
     return F.when(F.trim(content).startswith("["), joined).otherwise(content)
 
 
-def _assemble(rows: DataFrame) -> DataFrame:
-    """Messages of rows ``session, at, role, issidechain, blocks``."""
-    main = F.max(~F.coalesce(F.col("issidechain"), F.lit(False))).over(Window.partitionBy("session"))
-    kept = rows.withColumn("has_main", main).filter(~F.coalesce(F.col("issidechain"), F.lit(False)) | ~F.col("has_main"))
+def _placed(rows: DataFrame) -> DataFrame:
+    """Rows ``session, at, issidechain`` and others that belong to their session, with ``msg_idx``; give narrow rows only."""
+    side = F.coalesce(F.col("issidechain"), F.lit(False))
+    main = F.max(~side).over(Window.partitionBy("session"))
+    kept = rows.withColumn("has_main", main).filter(~side | ~F.col("has_main")).drop("has_main")
+    return kept.withColumn("msg_idx", F.row_number().over(Window.partitionBy("session").orderBy("at")) - 1)
+
+
+def _built(rows: DataFrame) -> DataFrame:
+    """Messages of rows ``session, msg_idx, role, blocks``."""
     of = lambda kind: F.filter("blocks", lambda b: b["type"] == kind)
     texts = F.transform(F.filter("blocks", lambda b: b["type"].isin("text", "thinking")), lambda b: F.coalesce(b["text"], b["thinking"]))
     uses = F.transform(of("tool_use"), lambda b: F.struct(b["id"].alias("tool_use_id"), b["name"].alias("tool"), F.coalesce(b["input"], F.lit("{}")).alias("input_json")))
-    results = F.transform(of("tool_result"), lambda b: F.struct(b["tool_use_id"].alias("tool_use_id"), F.coalesce(content_text(b["content"]), F.lit("")).alias("text"), F.coalesce(b["is_error"], F.lit(False)).alias("is_error")))
-    index = F.row_number().over(Window.partitionBy("session").orderBy("at")) - 1
-    return kept.select("session", index.alias("msg_idx"), "role", F.array_join(F.filter(texts, lambda t: t.isNotNull()), "\n").alias("text"), uses.cast(USES).alias("tool_uses"), results.cast(RESULTS).alias("tool_results"))
+    results = F.transform(
+        of("tool_result"),
+        lambda b: F.struct(b["tool_use_id"].alias("tool_use_id"), F.coalesce(content_text(b["content"]), F.lit("")).alias("text"), F.coalesce(b["is_error"], F.lit(False)).alias("is_error")),
+    )
+    text = F.array_join(F.filter(texts, lambda t: t.isNotNull()), "\n")
+    return rows.select("session", "msg_idx", "role", text.alias("text"), uses.cast(USES).alias("tool_uses"), results.cast(RESULTS).alias("tool_results"))
 
 
 def messages(raw: DataFrame) -> DataFrame:
@@ -71,16 +80,20 @@ def messages(raw: DataFrame) -> DataFrame:
     content = F.col("r.message.content")
     plain = F.array(F.struct(F.lit("text").alias("type"), content.alias("text"), *(F.lit(None).cast("string").alias(c) for c in ("thinking", "id", "name", "input", "tool_use_id", "content")), F.lit(None).cast("boolean").alias("is_error")))
     blocks = F.when(F.trim(content).startswith("["), F.from_json(content, _BLOCK)).otherwise(F.when(content.isNotNull(), plain))
-    return _assemble(parsed.select("session", F.col("line_no").alias("at"), F.col("r.type").alias("role"), F.col("r.isSidechain").alias("issidechain"), F.coalesce(blocks, F.array().cast(_BLOCK)).alias("blocks")))
+    return _built(_placed(parsed.select("session", F.col("line_no").alias("at"), F.col("r.type").alias("role"), F.col("r.isSidechain").alias("issidechain"), F.coalesce(blocks, F.array().cast(_BLOCK)).alias("blocks"))))
 
 
 def messages_of_rows(subagent: DataFrame) -> DataFrame:
-    """Messages of parsed transcript rows, each row once."""
+    """Messages of parsed transcript rows, each row once. Rows are numbered by their keys alone and meet their texts afterwards, so
+    that no window over a session holds texts."""
     role = F.lower(F.trim("type"))
     content = lambda b: F.coalesce(b["content"], F.array_join(F.transform(F.filter(F.coalesce(b["items"], F.array()), lambda i: i["type"] == "text"), lambda i: i["text"]), "\n"))
     blocks = F.transform(F.coalesce(F.col("message.content"), F.array()), lambda b: F.struct(*(b[c].alias(c) for c in ("type", "text", "thinking", "id", "name", "input", "tool_use_id")), content(b).alias("content"), b["is_error"].alias("is_error")))
-    once = subagent.filter(role.isin("user", "assistant") & F.col("session").isNotNull()).dropDuplicates(["row_id"])
-    return _assemble(once.select("session", F.struct("line_no", "row_id").alias("at"), role.alias("role"), "issidechain", blocks.alias("blocks")))
+    told = subagent.filter(role.isin("user", "assistant") & F.col("session").isNotNull())
+    keys = told.groupBy("row_id").agg(F.min(F.struct("session", "line_no", role.alias("role"), "issidechain")).alias("k")).select("row_id", "k.*")
+    placed = _placed(keys.withColumn("at", F.struct("line_no", "row_id"))).select(F.col("row_id").alias("id"), "session", "msg_idx", "role")
+    whole = told.select("row_id", blocks.alias("blocks"))
+    return _built(placed.join(whole, F.col("id").eqNullSafe(F.col("row_id"))).dropDuplicates(["row_id"]))
 
 
 def _foreign_items(raw: DataFrame) -> DataFrame:
