@@ -14,7 +14,6 @@ an origin without sequences gives no rows; steps that name no known tool stay as
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -26,7 +25,7 @@ from pyspark.sql import functions as F
 
 from loomwork.functions.shared import written
 from loomwork.llm import runs
-from loomwork.llm.toolnames import Catalog, folded
+from loomwork.llm.toolnames import Catalog, flow_steps, folded
 
 ARROW = " → "
 LONG = 512  # steps beyond which a sequence is cut to an equivalent one
@@ -36,30 +35,6 @@ PER_PARTITION = 12_000  # sequences mined together
 STEPS = 400_000  # steps mined together, where sequences are long
 CANDIDATES = 400_000  # patterns counted in one pass; more are counted in several
 
-_SEPARATOR = re.compile(r"\s*(?:->|=>|→|⇒|➔|➜|»|\||;|,|>|\n)\s*")
-_SHELL = re.compile(r"^(.*?)\s*\(\s*(\S.*?)\s*\)\s*[.,;:]?\s*$", re.DOTALL)
-_INSIDE = re.compile(r"\([^()]*\)")
-
-
-def flow_steps(flow: str | None, tools: Catalog) -> list[str]:
-    """The steps of one flow in their proper spelling; a shell step keeps its command family in brackets."""
-    out = []
-    held: list[str] = []
-
-    def hold(m: re.Match) -> str:  # a separator within brackets is none
-        held.append(m.group())
-        return f"\ue000{len(held) - 1}\ue001"
-
-    for part in _SEPARATOR.split(_INSIDE.sub(hold, (flow or "").replace("<", "").replace("`", ""))):
-        part = re.sub("\ue000(\\d+)\ue001", lambda m: held[int(m.group(1))], part)
-        shell = _SHELL.match(part)
-        name = tools.resolve(shell.group(1) if shell else part)
-        if name is not None:
-            family = " ".join(shell.group(2).split()) if shell else ""
-            out.append(f"{name}({family})" if family else name)
-    return out
-
-
 def equivalent(steps: np.ndarray, longest: int) -> np.ndarray:
     """Positions of a shorter sequence that contains the same patterns of up to ``longest`` steps.
 
