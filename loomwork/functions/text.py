@@ -12,8 +12,9 @@ EDGE = rf"^{SPACE}+|{SPACE}+$"
 
 
 def units(text: Column) -> Column:
-    """UTF-16 units of a text; null counts as none."""
-    return F.coalesce((F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("int"), F.lit(0))
+    """UTF-16 units of a text; null counts as none. Plain ASCII, most texts, has as many as bytes."""
+    plain = F.octet_length(text) == F.length(text)
+    return F.coalesce(F.when(plain, F.octet_length(text)).otherwise((F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("int")), F.lit(0))
 
 
 def trimmed(text: Column) -> Column:

@@ -6,19 +6,28 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwork.functions.text import truncate, units
+from loomwork.plans.options import MARK
 
 
-def paired_calls(messages: DataFrame, preserve_recent: int = 6) -> DataFrame:
+def paired_calls(messages: DataFrame, preserve_recent: int = 6, texts: bool = True) -> DataFrame:
     """A row per call with a result, the last of several: ``session, call_seq, id, tool_use_id, tool, input_json, call_index,
-    result_index, result_text, result_chars, is_error, total, pinned``; calls without result are left out."""
+    result_index, result_text, result_chars, is_error, total, pinned``; calls without result are left out.
+
+    Without ``texts`` the result's text is only the note of an earlier cut, where it holds one, so that rows stay narrow.
+    """
     total = messages.groupBy("session").agg(F.count("*").alias("total"))
     uses = messages.select("session", "msg_idx", F.posexplode("tool_uses").alias("pos", "u"))
     results = messages.select("session", "msg_idx", F.posexplode("tool_results").alias("pos", "r"))
-    last = results.groupBy("session", F.col("r.tool_use_id").alias("tool_use_id")).agg(F.max_by(F.struct("msg_idx", "r.text", "r.is_error"), F.struct("msg_idx", "pos")).alias("r"))
-    met = uses.select("session", "msg_idx", "pos", F.col("u.tool_use_id").alias("tool_use_id"), F.col("u.tool").alias("tool"), F.col("u.input_json").alias("input_json")).join(last, ["session", "tool_use_id"])
+    text = F.col("r.text") if texts else F.when(F.contains(F.col("r.text"), F.lit(MARK)), F.lit(MARK)).otherwise(F.lit(""))
+    held = results.select("session", "msg_idx", "pos", F.col("r.tool_use_id").alias("tool_use_id"), text.alias("text"), units(F.col("r.text")).alias("chars"), F.col("r.is_error").alias("is_error"))
+    last = held.groupBy("session", "tool_use_id").agg(F.max_by(F.struct("msg_idx", "text", "chars", "is_error"), F.struct("msg_idx", "pos")).alias("r"))
+    told = uses.select("session", "msg_idx", "pos", F.col("u.tool_use_id").alias("tool_use_id"), F.col("u.tool").alias("tool"), F.col("u.input_json").alias("input_json"))
     seq = F.row_number().over(Window.partitionBy("session").orderBy("msg_idx", "pos"))
-    calls = met.select("session", seq.alias("call_seq"), "tool_use_id", "tool", "input_json", F.col("msg_idx").alias("call_index"), F.col("r.msg_idx").alias("result_index"), F.col("r.text").alias("result_text"), F.col("r.is_error").alias("is_error")).join(total, "session")
-    return calls.withColumns({"id": F.concat(F.lit("t"), F.col("call_seq").cast("string")), "result_chars": units(F.col("result_text")), "pinned": pinned(F.col("call_index"), F.col("result_index"), F.col("total"), preserve_recent)})
+    calls = told.join(last, ["session", "tool_use_id"]).select(
+        "session", seq.alias("call_seq"), "tool_use_id", "tool", "input_json", F.col("msg_idx").alias("call_index"), F.col("r.msg_idx").alias("result_index"), F.col("r.text").alias("result_text"),
+        F.col("r.chars").alias("result_chars"), F.col("r.is_error").alias("is_error"),
+    )
+    return calls.join(total, "session").withColumns({"id": F.concat(F.lit("t"), F.col("call_seq").cast("string")), "pinned": pinned(F.col("call_index"), F.col("result_index"), F.col("total"), preserve_recent)})
 
 
 def pinned(call: Column, result: Column, total: Column, recent: int) -> Column:
