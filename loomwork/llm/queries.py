@@ -102,9 +102,9 @@ def p8_least_cost(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p9_short(spark: SparkSession, sf: str) -> DataFrame:
-    """Shares reached where the mix must be as large as all that is held, so that small sources run short."""
+    """Shares reached where the mix must be twice as large as all that is held, so that some sources run short."""
     targets = table(spark, sf, "mix_targets")
-    return mixing.reached(mixing.mix(table(spark, sf, "documents"), targets, total=1.0), targets)
+    return mixing.reached(mixing.mix(table(spark, sf, "documents"), targets, total=2.0), targets)
 
 
 def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
