@@ -46,6 +46,8 @@ _FLAT = re.compile(r"(?<=[a-zà-ÿ])Ã (?=( ?))")
 _ENTITY = re.compile(r"&(?:[A-Za-z]{2,8}|#\d{2,5}|#x[0-9A-Fa-f]{2,4});")
 _HIGH = re.compile(r"[^\x00-\x7f]+")
 _TOKEN = re.compile(r"[^ \t\n\r\f\v]*[^\x00-\x7f][^ \t\n\r\f\v]*")
+# Ranges of Unicode in wide use: Latin, Greek, Cyrillic, punctuation, currency, arrows, boxes, signs, East Asian scripts, pictures.
+_IN_USE = re.compile("[\x00-\u024f\u0370-\u045f\u1e00-\u20bf\u2100-\u27bf\u3000-\u30ff\u4e00-\u9fff\uac00-\ud7a3\uff00-\uffef\U0001f300-\U0001faff]+")
 _NARROW = re.compile("[\x80-⹿]")
 _STRAY = re.compile("[\x80-\x84\x86-\x9f]")
 UNITS = "array<struct<cipher:string,unit:string,letter:string,before:string,after:string,n:long>>"
@@ -276,21 +278,15 @@ class Reader:
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     pages = Pages()
+
+    @lru_cache(200_000)
+    def cut(run: str) -> str:
+        """Nothing in place of a run that is wholly UTF-8 under a page, of characters in wide use."""
+        found = pages.read(run) if len(run) > 1 else ()
+        return "\n" if any(b - a == len(run) and _IN_USE.fullmatch(plain) for a, b, _, _, plain in found) else run
+
     for batch in batches:
-        texts = list(map(_plain_entities, batch["text"]))
-        common = Counter("".join(r for t in texts if not t.isascii() for r in _HIGH.findall(t)))
-
-        @lru_cache(None)
-        def cut(run: str) -> str:
-            """Nothing in place of a run that is wholly UTF-8 under a page, of letters that are as common as its own signs."""
-            usual = sum(common[c] for c in run) / len(run)
-            for a, b, _, _, plain in pages.read(run):
-                seen = [common[c] for c in plain if ord(c) > 127]
-                if b - a == len(run) > 1 and (not seen or min(seen) > 0 and sum(seen) > 0.3 * usual * len(seen)):
-                    return "\n"
-            return run
-
-        texts = [t if t.isascii() else _HIGH.sub(lambda m: cut(m.group()), t) for t in texts]
+        texts = [t if t.isascii() else _HIGH.sub(lambda m: cut(m.group()), t) for t in map(_plain_entities, batch["text"])]
         codes = np.frombuffer(("\n" + "\n".join(texts)).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         seen = np.bincount(codes)
         present = np.flatnonzero(seen)
