@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -328,6 +329,33 @@ def test_retrieval(spark):
     assert retrieval.recall(ranked, spark.createDataFrame([("q", 2)], "q string, d int"), "q", "d").first().asDict() == {"recall_1": 0.0, "recall_5": 1.0}
 
 
+def test_bm25_ties_of_nine_places(spark):
+    """Document 2 is ahead by less than the ninth place, so the lesser key goes first, as in SQL; a document without a key goes last."""
+    postings = spark.createDataFrame([(1, "a", 1, 10**10 + 1), (2, "a", 1, 10**10), (None, "a", 1, 10**10), (3, "b", 1, 10**10)], "d long, term string, tf long, length long")
+    ranked = retrieval.bm25(postings, spark.createDataFrame([("q", "a"), ("q", "none"), ("r", "none")], "q string, term string"), "d", "q", 3)
+    assert [(r.q, r.d, r.rank) for r in ranked.orderBy("rank").collect()] == [("q", 1, 1), ("q", 2, 2), ("q", None, 3)]
+
+
+@pytest.mark.parametrize("limits", [{}, {"SLICE": 40, "DENSE": 100}, {"SLICE": 7, "LONG": 3}])
+def test_best_of_a_block_without_a_row_for_each_pair(limits, monkeypatch):
+    """One to twelve terms a query against brute force, few distinct parts so that many sums tie, in slices and with few columns kept."""
+    from loomwork.operators import best as b
+
+    for name, value in limits.items():
+        monkeypatch.setattr(b, name, value)
+    rng = random.Random(5)
+    parts = {(d, t): rng.choice([0.25, 0.5, 1.0, 1.5]) * (1 + t % 3) for d in range(200) for t in range(16) if rng.random() < (0.4 if t % 4 else 0.03)}
+    asked = {f"q{i}": rng.sample(range(18), rng.randrange(1, 13 if i % 2 else 4)) for i in range(150)}
+    rows = [(f"t{t}", p, f"d{d:03}", None) for (d, t), p in parts.items()] + [(f"t{t}", None, None, q) for q, ts in asked.items() for t in ts]
+    rng.shuffle(rows)
+    batches = pa.Table.from_pylist([dict(zip(("term", "part", "key", "query"), r)) for r in rows], pa.schema([("term", pa.string()), ("part", pa.float64()), ("key", pa.string()), ("query", pa.string())])).to_batches(max_chunksize=100)
+    got = {}
+    for r in (r for out in b.best(iter(batches), 5) for r in out.to_pylist()):
+        got.setdefault(r["query"], []).append((-r["score"], r["key"]))
+    sums = {q: sorted((-sum(parts.get((d, t), 0) for t in ts), f"d{d:03}") for d in range(200) if any((d, t) in parts for t in ts))[:5] for q, ts in asked.items()}
+    assert {q: sorted(x) for q, x in got.items()} == {q: x for q, x in sums.items() if x}
+
+
 def test_novelty_of_null_groups(spark):
     rows = [(1, "a", "red fox"), (2, None, "red fox jumps"), (3, None, "red dog"), (4, "a", "red dog")]
     docs = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumn("at", F.col("doc_id"))
